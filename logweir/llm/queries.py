@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, secrets
+from . import bagminhash, decontaminate, licenses, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_license_scan, op8_decontamination)}
+def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_license_scan, op8_decontamination, op9_bagminhash_dedup)}
 ORACLE_SQL = {"op1_secret_scan": secrets.oracle(), "op7_license_scan": licenses.oracle(), "op8_decontamination": decontaminate.oracle()}
