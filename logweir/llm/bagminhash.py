@@ -153,6 +153,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     than a shingle is one shingle. Rows that are alike all stay; rows without an id can't name a
     class unless the class has no other. An empty table gives an empty one.
     """
+    found = classes(docs, doc_id=doc_id, text=text, shingle=shingle, least=least, rows=rows, bands=bands, broadcast_rows=broadcast_rows)
+    return found.select(F.col("id").alias(doc_id), "class_id", "n_links")
+
+
+def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: float, rows: int, bands: int, broadcast_rows: int) -> DataFrame:
+    """(id, node, class_id, n_links, keep) for each row; node is the text's hash, and keep is true for one id and text of a class."""
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     own = own.withColumn("node", F.unhex(F.md5("text")))
     nodes = _with_bands(own.select("id", "node", "text"), shingle, rows, bands).groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
@@ -193,11 +199,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     degree = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = degree.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    names = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    classes = named.join(names, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    classes = store.written(classes, "classes")
+    names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.isnull("id").alias("_"), "id", "node")).alias("first"))
+    found = named.join(names, "component").join(degree, "node", "left").select("node", F.col("id").alias("least"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("node") == F.col("first.node")).alias("leads"))
+    found = store.written(found, "classes")
     store.drop(*drop)
-    return own.select("id", "node").join(classes, "node").select(F.col("id").alias(doc_id), "class_id", "n_links")
+    keep = F.col("leads") & F.col("id").eqNullSafe(F.col("least"))
+    return own.select("id", "node").join(found, "node").select("id", "node", "class_id", "n_links", keep.alias("keep"))
 
 
 def _tested(own: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
@@ -211,9 +218,12 @@ def _tested(own: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, le
     return _verified(both.select("a", "b", "text_a", "text_b"), shingle, least)
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents of which each class keeps one: the row with its smallest doc_id. Of rows with this id one stays."""
-    classes = near_duplicates(docs, doc_id=doc_id, **options)
-    gone = classes.where(~F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.dropDuplicates([doc_id])
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, rows: int = ROWS, bands: int = BANDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents of which each class keeps one row: that with its smallest doc_id, null being the largest."""
+    found = store.written(classes(docs, doc_id=doc_id, text=text, shingle=shingle, least=least, rows=rows, bands=bands, broadcast_rows=broadcast_rows), "row-classes")
+    gone = found.where(~F.col("keep")).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
+    few = store.small(gone, broadcast_rows)
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")) & (F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))) == F.col("_gone_node"))
+    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = found.where("keep").groupBy("id", "node").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([doc_id, text]) if again else kept  # rows that are alike are found again by their text

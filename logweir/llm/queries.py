@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, licenses, secrets
+from . import bagminhash, decontaminate, htmltext, licenses, packing, secrets, tokens, toxicity, urls, vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,43 @@ def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_license_scan, op8_decontamination, op9_bagminhash_dedup)}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.digest(table(spark, sf_dir, "pages"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op6_vptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_token_counts,
+        op3_html_extraction,
+        op4_url_filter,
+        op5_bestfit_packing,
+        op6_vptree_search,
+        op7_license_scan,
+        op8_decontamination,
+        op9_bagminhash_dedup,
+        op10_toxicity,
+    )
+}
 ORACLE_SQL = {"op1_secret_scan": secrets.oracle(), "op7_license_scan": licenses.oracle(), "op8_decontamination": decontaminate.oracle()}
