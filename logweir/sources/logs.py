@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import times
 from ..model import LOGS, BadRequest
@@ -58,7 +59,7 @@ class LogTable:
         dealt.sortWithinPartitions("week_start", "service", "id").write.mode("append").partitionBy("week_start").option("parquet.bloom.filter.enabled#service", "true").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(LOGS.add("week_start", "date") if "week_start" not in LOGS.fieldNames() else LOGS).parquet(self.path)
+        return self.spark.read.schema(T.StructType([*LOGS.fields, T.StructField("week_start", T.DateType())])).parquet(self.path)
 
     def weeks(self) -> list[str]:
         """The weeks that have a directory."""
@@ -67,11 +68,19 @@ class LogTable:
         return sorted(n.removeprefix("week_start=") for n in children(self.spark, self.path) if n.startswith("week_start="))
 
 
-def with_ids(entries: DataFrame, base: int, *order: Column) -> DataFrame:
-    """Numbers the rows of a micro-batch from base on, in the given order; a batch has a bounded number of rows."""
+def with_ids(rows: DataFrame, base: int) -> DataFrame:
+    """Numbers rows without a gap from base on, in the order of their index, which it replaces.
+
+    The index holds the number of its input partition in its upper bits. Rows are numbered within
+    partitions, and the partitions' totals, one row each, are summed up.
+    """
     from pyspark.sql.window import Window
 
-    return entries.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(base - 1))
+    part = F.shiftright("index", 33).alias("part")
+    totals = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = rows.withColumn("part", part).withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy("index")))
+    return within.join(before, "part").withColumn("id", F.lit(base - 1) + F.col("before") + F.col("within")).drop("index", "part", "before", "within")
 
 
 def seeded(spark: SparkSession, rows: int, *, days: int = 30, start: str = "2024-01-01", seed: int = 7) -> DataFrame:

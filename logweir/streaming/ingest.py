@@ -35,7 +35,9 @@ class Engine:
         """
         number, state = self.ids.read()
         key = f"{stream}-{batch_id}"
-        rows = accepted(checked(batch.select(F.col("index"), "entry"), self.clock())).persist()
+        if "index" not in batch.columns:
+            batch = batch.withColumn("index", F.monotonically_increasing_id())
+        rows = accepted(checked(batch.select("index", "entry"), self.clock())).persist()
         try:
             n = rows.count()
             if not n:
@@ -47,7 +49,7 @@ class Engine:
                 self.ids.commit(number, {"next": base + n, "batches": dict(list(state["batches"].items())[-50:]) | last})
             else:
                 base = again
-            new = with_ids(rows, base, F.col("index")).drop("index")
+            new = with_ids(rows, base)
             if again is not None and self.logs.weeks():
                 done = self.logs.read().where((F.col("id") >= base) & (F.col("id") < base + n)).select("id")
                 new = new.join(done, "id", "left_anti")
@@ -57,7 +59,7 @@ class Engine:
 
     def ingest(self, source: str, *, continuous: bool = False) -> StreamingQuery:
         """Follows a folder of files with one JSON entry in a line."""
-        lines = self.spark.readStream.schema("value string").text(source).select(F.monotonically_increasing_id().alias("index"), F.col("value").alias("entry"))
+        lines = self.spark.readStream.schema("value string").text(source).select(F.col("value").alias("entry"))
         out = lines.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", f"{self.path}/_checkpoints/ingest")
         return (out.trigger(processingTime="1 second") if continuous else out.trigger(availableNow=True)).start()
 
