@@ -1,23 +1,70 @@
-"""Connected components of links, by alternating stars; links and labels never leave the executors."""
+"""Connected components of links; links and labels never leave the executors.
+
+Each task first joins the links of its own piece, of a bounded number of them, by union-find,
+which leaves a star for every component of the piece. If there is more than one piece, the stars
+are joined across pieces by alternating star operations.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that a task joins by itself, about.
+PIECE = 500_000
+
+
+def _stars(links: DataFrame, pieces: int) -> DataFrame:
+    """(a, b), a < b: for each piece of the links, every node under the smallest node of its component."""
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(x):
+            root = x
+            while parent[root] != root:
+                root = parent[root]
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        kind = None
+        for batch in batches:
+            kind = batch.column("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        if kind is not None:
+            nodes = [x for x in parent if find(x) != x]
+            for i in range(0, len(nodes), 10_000):
+                part = nodes[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], kind), pa.array(part, kind)], names=["a", "b"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.coalesce(pieces).mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def components(links: DataFrame, piece: int = PIECE) -> DataFrame:
     """(node, component) for every node of the links (a, b): the component's smallest node.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest node
-    that it knows, until nothing changes; the number of rounds grows as the logarithm of the
-    longest path. Minima are aggregated before they are shuffled, and no node's neighbours are
-    gathered in one row, so that a hub with a third of all links is no hot spot.
+    Where there are several pieces, each round hangs every node's larger neighbours, then its
+    smaller ones, on the smallest node that it knows, until nothing changes; the number of rounds
+    grows as the logarithm of the longest path. Minima are aggregated before they are shuffled,
+    and no node's neighbours are gathered in one row, so that a hub with a third of all links is
+    no hot spot. Links of a node with itself and with null don't count.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now = store.written(links, "links")
+    raw = store.written(links, "links")
+    pieces = -(-raw.count() // piece)
+    now = store.written(_stars(raw, max(pieces, 1)), "stars")
+    store.drop(raw)
+    if pieces <= 1:
+        return _labels(now)
     state = _state(now)
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,8 +80,12 @@ def components(links: DataFrame) -> DataFrame:
         state = _state(now)
         if state == before:
             break
-    roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
+    return _labels(now)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
 
 
 def _state(links: DataFrame) -> tuple:

@@ -178,6 +178,8 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    many = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), piece=20).collect()}
+    assert many == got
 
 
 # --- toxicity
