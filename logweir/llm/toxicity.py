@@ -172,7 +172,7 @@ def label_model(votes: np.ndarray, prior: float, right: np.ndarray, rounds: int
     return post, right, weight
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.2, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by Newton's method."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
     w = np.zeros(x.shape[1])
@@ -238,6 +238,7 @@ def train(texts: list[str], gold: list[float | None]) -> Model:
     post, right, weight = label_model(votes, float((value == 1).sum() / known.sum()), np.clip(right, 0.05, 0.99))
     terms = np.flatnonzero(np.abs(score) > 1.2)
     terms = terms[np.lexsort((terms, -np.abs(score[terms])))][:TERMS]
+    terms = np.union1d(terms, np.flatnonzero(sum(seeds)))
     weights, bias = fit_linear(_matrix(texts, terms), post)
     report = tuple(zip([*names, *PATTERNS, "annotators"], right[1].round(4).tolist(), right[0].round(4).tolist(), weight.round(4).tolist(), strict=True))
     return Model(terms, weights.astype(np.float32), bias, report)
