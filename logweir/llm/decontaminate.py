@@ -113,12 +113,14 @@ def digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", most: float = 0.0, **options) -> DataFrame:
-    """The documents of which at most this share of words is hit; all columns and copies stay."""
-    keyed = docs.select(F.col(doc_id), F.col("text"))
-    found = hits(keyed, items, **options)
-    bad = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col(doc_id).alias("bad_id")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("bad_id")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most: float = 0.0, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """The documents of which at most this share of words is hit; all columns and copies stay. A row is known by its id and text."""
+    own = F.xxhash64(F.col(f"`{text}`"))
+    found = hits(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), own.alias("own")), items, broadcast_rows=broadcast_rows, **options)
+    bad = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("id").alias("_bad_id"), F.col("own").alias("_bad_text")).distinct()
+    bad = store.written(bad, "leaks")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_bad_id")) & (own == F.col("_bad_text"))
+    return docs.join(F.broadcast(bad) if store.small(bad, broadcast_rows) else bad, same, "left_anti")
 
 
 def oracle() -> str:
