@@ -12,6 +12,7 @@ import pytest
 from conftest import MEDIUM, SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logweir.llm import bagminhash, components, packing, shingles, tokens, toxicity
 
@@ -150,7 +151,7 @@ def test_large_group_odd_rows_and_both_joins(spark):
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = [(i, " ".join(w if rng.random() > 0.008 else f"x{i}" for w in base)) for i in range(60)]  # near each other to different degrees
     rows += [(100 + i, rows[0][1]) for i in range(30)] + [(200, None), (201, ""), (202, " ."), (203, "one two"), (204, "One, two"), (5, rows[5][1]), (None, rows[9][1]), (None, "alone by itself here now")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": pytest.importorskip("pyspark.sql.functions").lit(1), "id": pytest.importorskip("pyspark.sql.functions").lit(2)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "id": F.lit(2)})
     names, find = brute_classes(rows)
     want = collections.Counter((d, names[find(i)]) for i, (d, _) in enumerate(rows))
     for few in (0, 300_000):
@@ -195,8 +196,6 @@ def test_held_out_accuracy(spark):
 
 
 def test_held_out_labels_change_nothing(spark):
-    from pyspark.sql import functions as F
-
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     other = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     score = lambda x: {r.doc_id: r.score for r in toxicity.scored(docs, x).collect()}
@@ -210,7 +209,7 @@ def test_toxicity_of_odd_rows(spark):
         got = toxicity.scored(docs, labels).collect()
         assert len(got) == 5 and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
         assert toxicity.scored(docs.limit(0), labels).count() == 0
-        assert toxicity.accepted(docs.withColumnRenamed("doc_id", "doc_id"), labels).columns == docs.columns
+        assert toxicity.accepted(docs, labels).columns == docs.columns
     bad = {r.doc_id for r in toxicity.scored(docs, some.limit(0)).collect() if r.predicted}
     assert bad == {None}
 
