@@ -25,11 +25,8 @@ def test_entry_points():
 
 
 def test_plans_push_filters_and_prune(spark):
-    from pyspark.sql import functions as F
-
     plan = catalog.QUERIES["agg_1h_service"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
     assert "props" not in plan  # no column is read that isn't needed
     top = catalog.QUERIES["page_first"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
-    assert F is not None
