@@ -29,6 +29,8 @@ SAMPLE_ROWS = 6000
 TERMS, LEXICON = 512, 40
 THRESHOLD = 0.7
 BUCKETS = 1 << 20
+#: Bytes of texts that the driver takes at a time while it fits.
+DRIVER_CHUNK = 200_000
 KINDS = (0, 4, 5, 6, 7, 8)  # whole words, and beginnings of so many bytes
 
 # Seeds of the lexicon voters, by language.
@@ -73,7 +75,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
 
 def _of_texts(texts: list[str]):
     """(first text, terms by kind, bounds) in pieces."""
-    for row, data, offsets in chunks(pa.array(texts, pa.string())):
+    for row, data, offsets in chunks(pa.array(texts, pa.string()), DRIVER_CHUNK):
         yield row, *_terms(data, offsets)
 
 
@@ -83,7 +85,7 @@ def _densities(texts: list[str], groups: list[np.ndarray]) -> np.ndarray:
     for row, terms, bounds in _of_texts(texts):
         n = np.diff(bounds)
         for g, weight in enumerate(groups):
-            total = np.append(0.0, np.cumsum(sum(weight[t] for t in terms)))
+            total = np.append(0.0, np.cumsum(sum(weight[t].astype(np.int32) for t in terms)))
             out[row : row + len(n), g] = (total[bounds[1:]] - total[bounds[:-1]]) * 100 / np.maximum(n, 1)
     return out
 
@@ -106,13 +108,13 @@ def _matrix(texts: list[str], chosen: np.ndarray) -> np.ndarray:
 
 def _mined(texts: list[str], gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(score, kind) of each bucket: how far the texts of either class differ in having the term often."""
-    toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    toxic, other = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     kind = np.zeros(BUCKETS, np.int8)
     for row, terms, bounds in _of_texts(texts):
         n = np.diff(bounds)
         text = np.repeat(np.arange(len(n)), n)
         for k, t in enumerate(terms):
-            key, count = np.unique(text * BUCKETS + t, return_counts=True)
+            key, count = np.unique(text * BUCKETS + t, return_counts=True)  # of a small chunk
             who, bucket = key // BUCKETS, key % BUCKETS
             # a text counts in full from one occurrence in 60 words on
             amount = np.minimum(count * 60 / np.maximum(n[who], 1), 1.0)
@@ -202,7 +204,7 @@ def train(texts: list[str], gold: list[float | None]) -> Model:
     value = np.array([-1 if g is None else int(g >= 0.5) for g in gold])
     seeds = []
     for words in SEEDS:
-        weight = np.zeros(BUCKETS)
+        weight = np.zeros(BUCKETS, np.int8)
         for _, terms, _ in _of_texts(list(words)):
             weight[terms[0]] = 1
         seeds.append(weight)
@@ -215,7 +217,7 @@ def train(texts: list[str], gold: list[float | None]) -> Model:
         best = np.flatnonzero((kind == k) & (score > 1.5))
         best = best[np.lexsort((best, -score[best]))][:LEXICON]
         for part in range(2):
-            weight = np.zeros(BUCKETS)
+            weight = np.zeros(BUCKETS, np.int8)
             weight[best[part::2]] = 1
             groups.append(weight)
             names.append(f"{'words' if not n else f'beginnings of {n}'} {part + 1}")
