@@ -226,7 +226,8 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
     if labels is None:
         labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     degree = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = degree.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    ends = degree.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).unionByName(degree.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")))
+    degree = ends.groupBy("node").agg(F.sum("n").cast("long").alias("n_links"))
     named = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.isnull("id").alias("_"), "id", "node")).alias("first"))
     found = named.join(names, "component").join(degree, "node", "left").select("node", F.col("id").alias("least"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("node") == F.col("first.node")).alias("leads"))
@@ -238,7 +239,8 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
 
 def _tested(own: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
     """Fetches the texts of the pairs (a, b) and verifies them."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node").select("node", F.col("id").alias("first"))
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
+    wanted = ends.distinct().join(nodes.select("node", "id"), "node").select("node", F.col("id").alias("first"))
     wanted = store.written(wanted, "wanted")
     few = store.small(wanted, broadcast_rows)
     texts = own.join(F.broadcast(wanted) if few else wanted, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "text").dropDuplicates(["node"])
