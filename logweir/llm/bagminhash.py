@@ -12,19 +12,21 @@ draw, and a weight of 1000 costs ten processes at most.
 ROWS slots make a band. Texts that share a band are a bucket. In every bucket one member leads,
 and the others are held against it, on the whole texts, unless their weights alone rule it out.
 Where a bucket then has members outside its largest component, they are held against a few
-more of that component. Those that are still outside lead in turn: in a small bucket all of
-them, so that every two of its members are in one component or were held against each other; in
-a large one a few, against each other. Buckets lead in several orders, and near duplicates share
-seven of them on average, so that a member is held against many leaders. No pairs within a
-bucket are emitted but those with a leader, and only open buckets go on.
-
-So a link is missed if its texts share no band, which happens to one in 5,000 at a similarity of
-0.8 and to fewer above; or if they meet only in buckets of over SMALL members in which neither
-has led, and are joined by no other links.
+more of that component. Those that are still outside are then held against all members of other
+components: pair by pair in a small bucket; in a large one by tiles, of which every two that can
+hold a link are crossed in one task, by products of matrices, and only links are emitted. Buckets
+lead in several orders, and near duplicates share seven of them on average, so that a member is
+held against many leaders before, and only open buckets go on.
+
+So every two texts that share a band are in one component or were held against each other, and a
+link is missed only if its texts share no band, which happens to one in 5,000 at a similarity of
+0.8 and to fewer above, and if they are joined by no other links.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,8 +39,10 @@ from .shingles import mix, of_column, overlap
 
 SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 6, 28
-#: Leaders of a large bucket in each further round; members of a small one; orders in which members lead.
+#: Leaders of a bucket in its second round; members of a small one; orders in which members lead.
 LEADERS, SMALL, ORDERS = 4, 32, 7
+#: Texts and, about, shingles of a tile; elements that are multiplied at a time.
+TILE_ROWS, TILE_SHINGLES, STRIP = 1024, 300_000, 2048
 #: Up to so many keys are broadcast to pick texts; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -152,6 +156,82 @@ def _verified(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _elements(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element) of each shingle of each text, a shingle's further occurrences being elements of their own; shingles by row."""
+    rows, names, weight = [], [], np.zeros(len(column), np.int64)
+    for row, hashes, counts, bounds in of_column(column, shingle):
+        owner = row + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        again = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        name = np.repeat(hashes, counts)
+        rows.append(np.repeat(owner, counts))
+        names.append(np.where(again > 0, mix(name + again.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), name))
+        weight += np.bincount(rows[-1], minlength=len(column))
+    return np.concatenate(rows), np.concatenate(names), weight
+
+
+def _common(rows: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray, kind: type) -> np.ndarray:
+    """How many elements each of the left rows has in common with each of the right ones."""
+    _, at, n = np.unique(names, return_inverse=True, return_counts=True)
+    shared = n > 1
+    column = (np.cumsum(shared) - 1)[at]
+    rows, column = rows[shared[at]], column[shared[at]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(left), len(right)), kind)
+    n_rows, n_columns = int(max(left.max(), right.max())) + 1, int(shared.sum())
+    for low in range(0, n_columns, STRIP):
+        a, b = np.searchsorted(column, (low, low + STRIP))
+        strip = np.zeros((n_rows, min(STRIP, n_columns - low)), kind)
+        strip[rows[a:b], column[a:b] - low] = 1
+        out += strip[left] @ strip[right].T
+    return out
+
+
+def _crossed(own: DataFrame, nodes: DataFrame, left: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
+    """All links (a, b, similarity) between a bucket's members outside its largest component and those of other components.
+
+    Members are graded by weight, so that links are within a grade or between two that follow
+    each other, and dealt by hash to tiles of bounded size.
+    """
+    step = -math.log(least) + 1e-6
+    grade = F.floor(F.log("weight") / step).cast("int")
+    at = left.select("bucket", "node", "component", "outside", grade.alias("grade"))
+    most = F.floor(F.lit(TILE_SHINGLES) / F.exp((F.col("grade") + 1) * step))
+    tiles = F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(TILE_ROWS), most))).cast("int")
+    sizes = at.groupBy("bucket", "outside", "grade").agg(F.count("*").alias("n")).select("bucket", "outside", "grade", tiles.alias("tiles"))
+    each = sizes.select("bucket", "outside", "grade", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    each = each.select("bucket", F.struct("outside", "grade", "tile").alias("t"))
+    both = each.where("t.outside").join(each.select("bucket", F.col("t").alias("u")), "bucket").where((F.abs(F.col("t.grade") - F.col("u.grade")) <= 1) & (~F.col("u.outside") | (F.col("t") <= F.col("u"))))
+    both = store.written(both.withColumn("cross", F.monotonically_increasing_id()), "crossings")
+    sides = both.select("cross", "bucket", F.lit(0).alias("side"), "t.*").unionByName(both.where("t <> u").select("cross", "bucket", F.lit(1).alias("side"), "u.*"))
+    dealt = at.join(sizes, ["bucket", "outside", "grade"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.join(sides, ["bucket", "outside", "grade", "tile"]).select("cross", "side", "node", "component")
+    texts = _texts(own, nodes, left.select("node").distinct(), broadcast_rows)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(second)  # a tile is crossed with itself, or the other one is empty
+        second = first if alone else second
+        out = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "similarity": pa.array([], pa.float64())})
+        if not len(first):
+            return out
+        rows, names, weight = _elements(table["text"], shingle)
+        component = table["component"].combine_chunks().dictionary_encode()
+        component = (component.combine_chunks() if isinstance(component, pa.ChunkedArray) else component).indices.to_numpy()
+        common = _common(rows, names, first, second, np.float32 if weight.max() < 2**24 else np.float64).astype(np.float64)
+        value = common / np.maximum(weight[first][:, None] + weight[second][None, :] - common, 1)
+        hit = (value >= least) & (component[first][:, None] != component[second][None, :])
+        i, j = np.nonzero(np.triu(hit, 1) if alone else hit)
+        if not len(i):
+            return out
+        a, b = table["node"].take(pa.array(first[i])), table["node"].take(pa.array(second[j]))
+        return pa.table({"a": a, "b": b, "similarity": pa.array(value[i, j], pa.float64())})
+
+    found = dealt.join(texts, "node").groupBy("cross").applyInArrow(run, "a binary, b binary, similarity double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
+
+
 def _order() -> tuple[Column, Column]:
     """The order in which a bucket's members lead, one of a few: buckets with much the same members then have the same leaders."""
     return F.xxhash64(F.pmod("bucket", F.lit(ORDERS)), "node").alias("order"), F.col("node")
@@ -210,9 +290,9 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
             left = store.written(left.withColumn("outside", F.col("component") != F.col("largest")), "open-buckets")
             drop.append(left)
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*_order()))
-            lead = left.where("outside" if turn == 2 else "not outside").withColumn("rank", rank).where(F.col("rank") <= F.when((F.col("members") <= SMALL) & F.lit(turn == 2), SMALL).otherwise(LEADERS))
+            lead = left.where(f"outside and members <= {SMALL}" if turn == 2 else "not outside").withColumn("rank", rank).where(F.col("rank") <= (SMALL if turn == 2 else LEADERS))
             lead = lead.select("bucket", F.col("node").alias("a"), F.col("weight").alias("lead_weight"), F.col("component").alias("own"))
-            pairs = left.where("outside" if turn == 1 else f"outside or members <= {SMALL}").join(lead, "bucket").where((F.col("component") != F.col("own")) & fits)
+            pairs = left.where("outside" if turn == 1 else f"members <= {SMALL}").join(lead, "bucket").where((F.col("component") != F.col("own")) & fits)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = store.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         drop.append(pairs)
@@ -221,6 +301,12 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
             found = store.written(_tested(own, nodes, pairs, shingle, least, broadcast_rows), "verified")
             links = found if links is None else links.unionByName(found)
             labels = _joined(labels, found)
+        large = left.where(F.col("members") > SMALL) if turn == 2 else None
+        if large is not None and not large.isEmpty():
+            found = store.written(_crossed(own, nodes, large, shingle, least, broadcast_rows), "crossed")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = _joined(labels, found)
     if links is None:
         links = pairs.select("a", "b")  # none
     if labels is None:
@@ -240,13 +326,18 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
 def _tested(own: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
     """Fetches the texts of the pairs (a, b) and verifies them."""
     ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
-    wanted = ends.distinct().join(nodes.select("node", "id"), "node").select("node", F.col("id").alias("first"))
+    texts = _texts(own, nodes, ends.distinct(), broadcast_rows)
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return _verified(both.select("a", "b", "text_a", "text_b"), shingle, least)
+
+
+def _texts(own: DataFrame, nodes: DataFrame, few_nodes: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(node, text) of these nodes."""
+    wanted = few_nodes.join(nodes.select("node", "id"), "node").select("node", F.col("id").alias("first"))
     wanted = store.written(wanted, "wanted")
     few = store.small(wanted, broadcast_rows)
     texts = own.join(F.broadcast(wanted) if few else wanted, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "text").dropDuplicates(["node"])
-    texts = store.written(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return _verified(both.select("a", "b", "text_a", "text_b"), shingle, least)
+    return store.written(texts, "texts")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, rows: int = ROWS, bands: int = BANDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

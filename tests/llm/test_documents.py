@@ -161,6 +161,16 @@ def test_large_group_odd_rows_and_both_joins(spark):
     assert kept[0].__fields__ == df.columns
 
 
+def test_pairs_in_large_buckets_of_lesser_similarity(spark):
+    common = " ".join(f"c{i}" for i in range(170))
+    own = [[f"w{n}x{i}" for i in range(22)] for n in range(400)]
+    for n in range(0, 60, 2):
+        own[n + 1][:2] = own[n][:2]  # 168 of 208 shingles in common, 0.81; all others have 166 of 210, 0.79
+    rows = [(n, f"{common} {' '.join(w)}") for n, w in enumerate(own)]
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {n: n - n % 2 if n < 60 else n for n in range(400)}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bagminhash.near_duplicates(empty).count() == bagminhash.deduplicated(empty).count() == 0
