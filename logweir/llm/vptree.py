@@ -3,10 +3,12 @@
 Vectors are extended by one component that brings all to the length of the longest, queries by
 a zero: then the largest inner product is the smallest Euclidean distance, and the triangle
 inequality holds. Each shard of bounded size gets a tree over its distinct vectors; a node has a
-vantage point and the least and largest distance to it on either side. A side is skipped if the
-bound that the triangle inequality gives, times a factor, lies beyond the worst of the nearest
-found so far: with factor one the search is exact, larger ones skip more. Queries go through a
-tree together, in blocks. What is found is scored again on the original vectors, in double
+vantage point, and for either side the least and largest distance to it and the least length. A
+side is skipped if the largest inner product that the triangle inequality admits there lies below
+the worst of the nearest found so far: with factor one the search is exact. Larger factors skip
+more, as if all distances were between vectors of the side's least length, so that how much more
+does not depend on the longest vector, nor on the query's length. Queries go through a tree
+together, in blocks. What is found is scored again on the original vectors, in double
 precision, and the shards' answers are merged.
 """
 
@@ -38,8 +40,8 @@ class Tree:
 
     def _apart(self, rows: np.ndarray, v: int) -> np.ndarray:
         """Distances in the extended space."""
-        inner = self.x[rows] @ self.x[v] + self.rest[rows] * self.rest[v]
-        return np.sqrt(np.maximum(2 * self.limit - 2 * inner, 0.0))
+        apart = self.x[rows] - self.x[v]
+        return np.sqrt(np.einsum("ij,ij->i", apart, apart) + (self.rest[rows] - self.rest[v]) ** 2)
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
@@ -52,18 +54,19 @@ class Tree:
             near = d < middle
             if not near.any():
                 return rows
-        sides = [(float(d[m].min()), float(d[m].max()), self._build(rows[m])) for m in (near, ~near)]
+        sides = [(float(d[m].min()), float(d[m].max()), float(np.sqrt(self.norms[rows[m]].min())), self._build(rows[m])) for m in (near, ~near)]
         return v, sides
 
     def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(squared distances, rows) of the k nearest to each query, unordered; row -1 where there are fewer."""
+        """(negative inner products, rows) of the k nearest to each query, unordered; row -1 where there are fewer."""
         best = np.full((len(q), k), np.inf)
         rows = np.full((len(q), k), -1)
         square = np.einsum("ij,ij->i", q, q)
+        length, slack = np.sqrt(square), 1e-12 * (square + self.limit)
 
         def visit(node, who: np.ndarray):
             if isinstance(node, np.ndarray):
-                d = (square[who][:, None] + self.limit) - 2 * (q[who] @ self.x[node].T)
+                d = -(q[who] @ self.x[node].T)
                 every = np.concatenate([best[who], d], axis=1)
                 names = np.concatenate([rows[who], np.broadcast_to(node, d.shape)], axis=1)
                 at = np.argpartition(every, k - 1, axis=1)[:, :k]
@@ -72,16 +75,19 @@ class Tree:
                 return
             v, sides = node
             d = np.sqrt(np.maximum(square[who] + self.limit - 2 * (q[who] @ self.x[v]), 0.0))
-            bounds = [np.maximum(np.maximum(low - d, d - high), 0.0) for low, high, _ in sides]
+            bounds = [np.maximum(np.maximum(low - d, d - high), 0.0) for low, high, _, _ in sides]
             first = bounds[0] <= bounds[1]
             near = np.where(bounds[0] == bounds[1], d <= (sides[0][1] + sides[1][0]) / 2, first)
             for own, order in ((near, (0, 1)), (~near, (1, 0))):
                 if own.any():
                     for side in order:
-                        worst = best[who[own]].max(axis=1)
-                        stay = (bounds[side][own] * factor) ** 2 <= worst * (1 + 1e-12)
+                        at = who[own]
+                        worst = -best[at].max(axis=1)
+                        most = (square[at] + self.limit - bounds[side][own] ** 2) / 2
+                        more = (factor**2 - 1) * np.maximum(length[at] * sides[side][2] - most, 0.0)
+                        stay = most - more + slack[at] >= worst
                         if stay.any():
-                            visit(sides[side][2], who[own][stay])
+                            visit(sides[side][3], at[stay])
 
         if len(self.x) and len(q):
             visit(self.root, np.arange(len(q)))

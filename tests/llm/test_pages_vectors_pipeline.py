@@ -121,6 +121,18 @@ def test_factor_one_is_exact_and_production_recalls(spark):
     assert np.mean([len({i for i, _ in near[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("scales", ["one long", "very long", "mixed"])
+def test_recall_does_not_depend_on_lengths(spark, scales):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect()]
+    rng = np.random.default_rng(3)
+    times = np.exp(rng.normal(size=len(rows))) if scales == "mixed" else np.ones(len(rows))
+    times[20] = 1e5 if scales == "very long" else 20
+    rows = [(i, (np.array(v, float) * t).tolist()) for (i, v), t in zip(rows, times, strict=True)]
+    want = brute_nearest(rows)
+    near = found(vptree.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert min(np.mean([len({i for i, _ in near[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in part]) for part in (list(want), [rows[20][0]] if rows[20][0] in want else list(want))) >= 0.9
+
+
 def test_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
