@@ -18,6 +18,9 @@ from ..model import DELTA, Settings
 from ..sources import files
 from .manifest import Manifest
 
+#: What a fold says that found no new ids.
+NOTHING = "nothing to fold"
+
 
 def folded(logs: DataFrame, low: int, high: int, width: int = 10) -> DataFrame:
     """The delta of the ids in [low, high)."""
@@ -54,7 +57,7 @@ class RollupTable:
         last = logs.agg(F.max("id")).first()[0]
         high = min((-1 if last is None else last) + 1, low + self.settings.max_fold_rows)
         if high <= low:
-            return "nothing to fold"
+            return NOTHING
         name = f"delta-{low:020d}-{high:020d}"
         folded(logs, low, high, state["width"]).write.mode("overwrite").parquet(f"{self.path}/{name}")
         rows = self.spark.read.schema(DELTA).parquet(f"{self.path}/{name}").agg(F.coalesce(F.sum("entry_count"), F.lit(0))).first()[0]

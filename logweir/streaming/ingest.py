@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import Settings
 from ..operators.attrindex import TokenTable
 from ..operators.manifest import Manifest
-from ..operators.rollup import RollupTable
+from ..operators.rollup import NOTHING, RollupTable
 from ..operators.validate import accepted, checked
 from ..sources.logs import LogTable, with_ids
 
@@ -64,11 +64,12 @@ class Engine:
         return (out.trigger(processingTime="1 second") if continuous else out.trigger(availableNow=True)).start()
 
     def maintain(self, _batch: DataFrame | None = None, _batch_id: int = 0) -> None:
-        """Folds, and then indexes up to the pre-aggregate's watermark."""
+        """Folds until nothing is waiting, and then indexes up to the pre-aggregate's watermark."""
         if not self.logs.weeks():
             return
         logs = self.logs.read()
-        self.rollup.fold(logs, now=self.clock(), first_id=1)
+        while self.rollup.fold(logs, now=self.clock(), first_id=1) != NOTHING and self.rollup.state()["behind"]:
+            pass
         self.tokens.run(logs, self.rollup.state()["watermark_id"])
 
     def follow(self, *, continuous: bool = False) -> StreamingQuery:

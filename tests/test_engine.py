@@ -245,6 +245,17 @@ def test_stream_stores_once_and_folds_late_rows(spark, tmp_path):
     assert engine.stats()["index"]["backlog"] >= 0 and engine.stats()["rollup"]["watermark_id"] == 131
 
 
+def test_stream_folds_more_rows_than_one_fold_takes(spark, tmp_path):
+    now = times.parse_iso("2024-06-01T12:00:00Z")
+    engine = Engine(spark, str(tmp_path / "store"), Settings(max_fold_rows=25), clock=lambda: now)
+    entries = [(i, json.dumps({"timestamp": "2024-05-20T10:00:00Z", "level": LEVELS[i % 4], "service": "s", "message": f"m {i}"})) for i in range(90)]
+    engine.write_batch(spark.createDataFrame(entries, "index long, entry string"), 1)
+    engine.follow().awaitTermination()
+    assert engine.rollup.read().agg({"entry_count": "sum"}).first()[0] == 90
+    state = engine.rollup.state()
+    assert (state["watermark_id"], state["behind"], state["refreshes"]) == (91, False, 4)
+
+
 def test_index_controller_and_histogram():
     s = Settings()
     assert attrindex.next_batch_rows(1000, 10, s) == 1300 and attrindex.next_batch_rows(1000, 130, s) == 600
