@@ -5,7 +5,9 @@ the characters and tags in links; the density sum adds up its children's densiti
 the largest sum is the article's core. The least density on its path to the body is the
 threshold by which subtrees beside the path belong to the article too; where an article or main
 element holds the core, that element is the article. Elements that are never part of an article,
-by their tag, role or class, are cut off first.
+by their tag or role, are cut off first. Words in class or id are evidence only: an element goes by
+them if they make up a whole token; but on pages without an article or main element outside of
+such elements, those that hold the core or most of the text stay.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tags, roles and words in class or id of what is no part of an article.
+# Tags, roles and words in class or id of what is no part of an article; words that may stand beside these in a token.
 CUT_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object embed svg canvas audio video map button select option textarea input label dialog menu title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar sidebars aside widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist disqus reply replies pagination pager toolbar skip hidden".split()
 )
+BESIDE_WORDS = frozenset("left right top bottom box bar list links area block".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | CUT_TAGS
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An element of the key's kind ends at the start of one of these, up to a scope that holds it.
@@ -32,10 +35,10 @@ NEVER = frozenset(("html", "body", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "cut", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", cut: bool = False):
-        self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
+    def __init__(self, tag: str, parent: "Node | None", cut: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.cut, self.doubtful, self.children = tag, parent, cut, doubtful, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -54,7 +57,7 @@ class Tree(HTMLParser):
             self._end({"p"}, BLOCKS - {"p"})
         if tag in ENDS:
             self._end(*ENDS[tag])
-        node = Node(tag, self.now, tag in CUT_TAGS or _is_cut(tag, attrs))
+        node = Node(tag, self.now, tag in CUT_TAGS or _is_cut(tag, attrs), _is_doubtful(tag, attrs))
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
@@ -84,8 +87,19 @@ def _is_cut(tag: str, attrs) -> bool:
     if tag in NEVER:
         return False
     found = dict(attrs)
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class') or ''} {found.get('id') or ''}").lower()))
-    return bool(words & CUT_WORDS) or found.get("role") in CUT_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    return found.get("role") in CUT_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+
+
+def _is_doubtful(tag: str, attrs) -> bool:
+    """Whether a whole token of class or id says that this is no part of an article."""
+    if tag in NEVER:
+        return False
+    found = dict(attrs)
+    for token in f"{found.get('class') or ''} {found.get('id') or ''}".split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+        if words & CUT_WORDS and words <= CUT_WORDS | BESIDE_WORDS:
+            return True
+    return False
 
 
 def _order(root: Node) -> list[Node]:
@@ -100,6 +114,8 @@ def _order(root: Node) -> list[Node]:
 def _measure(root: Node) -> list[Node]:
     nodes = _order(root)
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len(" ".join(x.split()))
@@ -120,8 +136,28 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _judge(root: Node) -> None:
+    """Cuts the doubtful elements that hold nothing which speaks for them."""
+    nodes = _measure(root)
+    doubtful = [n for n in nodes if n.doubtful]
+    if not doubtful:
+        return
+    kept, inside = set(), set()
+    for n in nodes:  # parents first
+        if n.doubtful or id(n.parent) in inside:
+            inside.add(id(n))
+    named = any(n.tag in ("article", "main") and n.chars and id(n) not in inside for n in nodes)
+    for node in [] if named else [max(nodes, key=lambda n: n.total), *(n for n in doubtful if 2 * n.chars > root.chars)]:
+        while node is not None and id(node) not in kept:
+            kept.add(id(node))
+            node = node.parent
+    for n in doubtful:
+        n.cut = id(n) not in kept
+
+
 def _content(root: Node) -> list[Node]:
     """The article's subtrees, in page order."""
+    _judge(root)
     nodes = _measure(root)
     core = max(nodes, key=lambda n: n.total)  # the first of equals, which is the outermost
     if not core.total:

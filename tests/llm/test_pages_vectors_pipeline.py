@@ -25,6 +25,16 @@ def test_article_is_found(wrap):
     assert htmltext.extract(PAGE % (wrap % BODY)) == WANT
 
 
+@pytest.mark.parametrize("wrap", ["<article class='post has-sidebar'>%s</article>", "<div id=content class='with-comments'>%s</div>", "<div class='page header-fixed'>%s</div>", "<div class=search-result>%s</div>", "<div class=widget><article>%s</article></div>", "<div class=search>%s</div>"])
+def test_class_words_alone_cut_no_article(wrap):
+    assert htmltext.extract(PAGE % (wrap % BODY)) == WANT
+
+
+def test_comments_that_are_articles_stay_cut():
+    comments = f"<section class=comments><article>{BODY}</article><article>{BODY}</article></section>"
+    assert htmltext.extract(PAGE % (f"<article>{BODY}</article>{comments}")) == WANT
+
+
 def test_odd_pages():
     assert htmltext.extract(None) == htmltext.extract("") == htmltext.extract("<nav><a>x</a></nav>") == ""
     assert htmltext.extract("just text") == "just text"
