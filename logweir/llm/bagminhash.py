@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import store
 from .components import components
@@ -232,9 +231,9 @@ def _crossed(own: DataFrame, nodes: DataFrame, left: DataFrame, shingle: int, le
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
 
 
-def _order() -> tuple[Column, Column]:
+def _order(turn: int = 0) -> tuple[Column, Column]:
     """The order in which a bucket's members lead, one of a few: buckets with much the same members then have the same leaders."""
-    return F.xxhash64(F.pmod("bucket", F.lit(ORDERS)), "node").alias("order"), F.col("node")
+    return F.xxhash64(F.pmod("bucket", F.lit(ORDERS)) + F.lit(ORDERS * turn), "node").alias("order"), F.col("node")
 
 
 def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -251,29 +250,33 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, rows: int = ROWS, bands: int = BANDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row: the class is named by its smallest doc_id.
+    """(doc_id, class_id, n_verified) for each row: the class is named by its smallest doc_id.
 
     A class holds the rows that links of at least this weighted Jaccard similarity join, over
-    any number of steps; n_links counts the verified links of the row's text with different
-    texts. Rows with the same text are one node and always of one class, null texts being
+    any number of steps; n_verified counts those links of the row's text that were verified on the
+    way, at least one in a class of several texts: texts that links have already joined are not
+    held against each other, so that a text may have more links than that. Rows with the same text are one node and always of one class, null texts being
     empty; texts without words are near to nothing but their exact copies. A text of fewer words
     than a shingle is one shingle. Rows that are alike all stay; rows without an id can't name a
     class unless the class has no other. An empty table gives an empty one.
     """
     found = classes(docs, doc_id=doc_id, text=text, shingle=shingle, least=least, rows=rows, bands=bands, broadcast_rows=broadcast_rows)
-    return found.select(F.col("id").alias(doc_id), "class_id", "n_links")
+    return found.select(F.col("id").alias(doc_id), "class_id", "n_verified")
 
 
-def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: float, rows: int, bands: int, broadcast_rows: int) -> DataFrame:
-    """(id, node, class_id, n_links, keep) for each row; node is the text's hash, and keep is true for one id and text of a class."""
+def _nodes_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text, node): null texts are empty, and a node is the hash of a text."""
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    own = own.withColumn("node", F.unhex(F.md5("text")))
+    return own.withColumn("node", F.unhex(F.md5("text")))
+
+
+def _classes(own: DataFrame, shingle: int, least: float, rows: int, bands: int, broadcast_rows: int) -> DataFrame:
+    """(node, least, class_id, n_verified, leads) of each node; least is its smallest id."""
     nodes = _with_bands(own.select("id", "node", "text"), shingle, rows, bands).groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = store.written(nodes, "nodes")
     members = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     crowded = store.written(members.join(shared, "bucket"), "crowded")
-    drop = [crowded]
     # a similarity of at least s needs weights of which the smaller is at least s times the larger
     fits = F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * (least - 1e-9)
     tested = links = labels = None
@@ -288,14 +291,19 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
             per = at.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")).where("components > 1")
             left = at.join(per.select("bucket", "members", F.col("largest.component").alias("largest")), "bucket")
             left = store.written(left.withColumn("outside", F.col("component") != F.col("largest")), "open-buckets")
-            drop.append(left)
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*_order()))
-            lead = left.where(f"outside and members <= {SMALL}" if turn == 2 else "not outside").withColumn("rank", rank).where(F.col("rank") <= (SMALL if turn == 2 else LEADERS))
-            lead = lead.select("bucket", F.col("node").alias("a"), F.col("weight").alias("lead_weight"), F.col("component").alias("own"))
-            pairs = left.where("outside" if turn == 1 else f"members <= {SMALL}").join(lead, "bucket").where((F.col("component") != F.col("own")) & fits)
+            few = left.where(F.col("members") <= SMALL)
+            if turn == 1:
+                # one leader by each of a few orders, so that no bucket's members are ranked in one task
+                firsts = [F.min(F.struct(*_order(i), "weight", "component")) for i in range(LEADERS)]
+                lead = left.where("not outside").groupBy("bucket").agg(F.array(*firsts).alias("firsts")).select("bucket", F.explode(F.array_distinct("firsts")).alias("first"))
+                lead = lead.select("bucket", F.col("first.node").alias("a"), F.col("first.weight").alias("lead_weight"), F.col("first.component").alias("own"))
+                pairs = left.where("outside").join(lead, "bucket")
+            else:
+                lead = few.where("outside").select("bucket", F.col("node").alias("a"), F.col("weight").alias("lead_weight"), F.col("component").alias("own"))
+                pairs = few.join(lead, "bucket")
+            pairs = pairs.where((F.col("component") != F.col("own")) & fits)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = store.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        drop.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.isEmpty():
             found = store.written(_tested(own, nodes, pairs, shingle, least, broadcast_rows), "verified")
@@ -313,14 +321,20 @@ def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: flo
         labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     degree = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = degree.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).unionByName(degree.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")))
-    degree = ends.groupBy("node").agg(F.sum("n").cast("long").alias("n_links"))
+    degree = ends.groupBy("node").agg(F.sum("n").cast("long").alias("n_verified"))
     named = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.isnull("id").alias("_"), "id", "node")).alias("first"))
-    found = named.join(names, "component").join(degree, "node", "left").select("node", F.col("id").alias("least"), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("node") == F.col("first.node")).alias("leads"))
-    found = store.written(found, "classes")
-    store.drop(*drop)
+    found = named.join(names, "component").join(degree, "node", "left").select("node", F.col("id").alias("least"), "class_id", F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"), (F.col("node") == F.col("first.node")).alias("leads"))
+    return store.kept(store.written(found, "classes"))
+
+
+def classes(docs: DataFrame, *, doc_id: str, text: str, shingle: int, least: float, rows: int, bands: int, broadcast_rows: int) -> DataFrame:
+    """(id, node, class_id, n_verified, keep) for each row; node is the text's hash, and keep is true for one id and text of a class."""
+    own = _nodes_of(docs, doc_id, text)
+    with store.passing():
+        found = _classes(own, shingle, least, rows, bands, broadcast_rows)
     keep = F.col("leads") & F.col("id").eqNullSafe(F.col("least"))
-    return own.select("id", "node").join(found, "node").select("id", "node", "class_id", "n_links", keep.alias("keep"))
+    return own.select("id", "node").join(found, "node").select("id", "node", "class_id", "n_verified", keep.alias("keep"))
 
 
 def _tested(own: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
@@ -341,11 +355,16 @@ def _texts(own: DataFrame, nodes: DataFrame, few_nodes: DataFrame, broadcast_row
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, rows: int = ROWS, bands: int = BANDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The documents of which each class keeps one row: that with its smallest doc_id, null being the largest."""
-    found = store.written(classes(docs, doc_id=doc_id, text=text, shingle=shingle, least=least, rows=rows, bands=bands, broadcast_rows=broadcast_rows), "row-classes")
-    gone = found.where(~F.col("keep")).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
+    """The documents, with all their columns, of which each class keeps one row: that with its smallest doc_id, null being the largest.
+
+    Null texts are one class with empty ones; of rows that are alike one stays; an empty table
+    gives an empty one; columns may have any names.
+    """
+    with store.passing():
+        found = store.written(classes(docs, doc_id=doc_id, text=text, shingle=shingle, least=least, rows=rows, bands=bands, broadcast_rows=broadcast_rows), "row-classes")
+        gone = store.kept(store.written(found.where(~F.col("keep")).select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct(), "gone"))
+        again = found.where("keep").groupBy("id", "node").count().where("count > 1").limit(1).count()
     few = store.small(gone, broadcast_rows)
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")) & (F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))) == F.col("_gone_node"))
-    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    again = found.where("keep").groupBy("id", "node").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([doc_id, text]) if again else kept  # rows that are alike are found again by their text
+    rest = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    return rest.dropDuplicates([doc_id, text]) if again else rest  # rows that are alike are found again by their text

@@ -114,11 +114,16 @@ def digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most: float = 0.0, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
-    """The documents of which at most this share of words is hit; all columns and copies stay. A row is known by its id and text."""
+    """The documents of which at most this share of words is hit; all columns and copies stay. A row is known by its id and text.
+
+    Null and empty texts have no words and stay; null ids are ids like others; without items, or
+    on an empty table, everything stays.
+    """
     own = F.xxhash64(F.col(f"`{text}`"))
-    found = hits(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), own.alias("own")), items, broadcast_rows=broadcast_rows, **options)
-    bad = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("id").alias("_bad_id"), F.col("own").alias("_bad_text")).distinct()
-    bad = store.written(bad, "leaks")
+    with store.passing():
+        found = hits(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), own.alias("own")), items, broadcast_rows=broadcast_rows, **options)
+        bad = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("id").alias("_bad_id"), F.col("own").alias("_bad_text")).distinct()
+        bad = store.kept(store.written(bad, "leaks"))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_bad_id")) & (own == F.col("_bad_text"))
     return docs.join(F.broadcast(bad) if store.small(bad, broadcast_rows) else bad, same, "left_anti")
 

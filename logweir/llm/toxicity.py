@@ -283,9 +283,7 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     wanted = store.written(gold.unionByName(plain), "drawn-ids")
     rows = docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
     one = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("gold").alias("gold"))  # an id that comes several times counts once
-    out = store.written(one.repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism)), "sample")
-    store.drop(wanted)
-    return out
+    return store.written(one.repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism)), "sample")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -300,11 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     of one id the least counts; null texts are empty. Without both labels, or on empty tables,
     the fixed words alone decide. Other columns, whatever their names, are not looked at.
     """
-    sample = _sample(docs, labels, doc_id, text, label, gold_rows, plain_rows)
-    try:
-        return _fitted(sample)
-    finally:
-        store.drop(sample)
+    with store.passing():
+        return _fitted(_sample(docs, labels, doc_id, text, label, gold_rows, plain_rows))
 
 
 def _fitted(sample: DataFrame) -> Model:

@@ -171,6 +171,44 @@ def test_pairs_in_large_buckets_of_lesser_similarity(spark):
     assert {r.doc_id: r.class_id for r in got} == {n: n - n % 2 if n < 60 else n for n in range(400)}
 
 
+def links(rows, least=0.8):
+    """Of each text, how many others are near to it."""
+    bags = [bag(t) for _, t in rows]
+    return [sum(jaccard(a, b) >= least for j, b in enumerate(bags) if i != j) for i, a in enumerate(bags)]
+
+
+@pytest.mark.parametrize("small", [0, 32, 1000])
+def test_a_hub_joins_texts_that_are_apart(spark, monkeypatch, small):
+    """One text is at 0.81 to all others, which are below 0.8 to each other; the size of buckets changes nothing."""
+    monkeypatch.setattr(bagminhash, "SMALL", small)
+    common = " ".join(f"c{i}" for i in range(300))
+    rows = [(n, f"{common} " + " ".join(f"w{n}x{i}" for i in range(25 if n == 137 else 45))) for n in range(300)]
+    assert links(rows[137:138] + rows[:3]) == [3, 1, 1, 1]
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+    assert next(r.n_verified for r in got if r.doc_id == 137) == 299  # every link of the hub was verified
+
+
+def test_a_cluster_of_mutual_copies_is_one_class(spark):
+    rows = [(n, " ".join(f"x{n}" if i == 6 * n + 7 else f"w{i}" for i in range(400))) for n in range(60)]  # a word of each is its own
+    assert min(links(rows)) == 59
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and all(1 <= r.n_verified <= 59 for r in got)
+
+
+def test_tables_of_steps_are_deleted(spark):
+    import os
+
+    from logweir.llm import store
+
+    at = f"{store.shared_dir(spark)}/logweir"
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = set(os.listdir(at)) if os.path.exists(at) else set()
+    n = bagminhash.deduplicated(docs).count()
+    left = {x.split("-")[0] for x in set(os.listdir(at)) - before}
+    assert left <= {"gone", "classes"} and n
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bagminhash.near_duplicates(empty).count() == bagminhash.deduplicated(empty).count() == 0

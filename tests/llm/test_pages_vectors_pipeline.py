@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from conftest import MEDIUM, SMALL
+from pyspark.sql import functions as F
 from test_documents import brute_classes, plain_words
 
 from logweir.llm import decontaminate, htmltext, urls, vptree
@@ -183,7 +184,7 @@ def test_stages_one_by_one(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(i)))
         kept.append(docs)
         if i < len(cp.STAGES) - 1:
-            assert docs.columns == list(cp.COLUMNS)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = [{r.doc_id for r in k.select("doc_id").collect()} for k in kept]
     toxic = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic = 0").collect()}
     every = {r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
@@ -214,3 +215,25 @@ def test_pipeline_run(spark):
 
     rows = cp.run(spark, SMALL)
     assert rows.count() > 100 and "bin_id" in rows.columns
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, None, None, "s", None, "x"), (2, "", "en", None, 0, "x"), (3, "password=abcdefgh " + long, "en", "s", 9, "x"), (None, "alone here", None, None, None, None), (4, "a text that comes twice", "en", "s", 9, "x"), (4, "a text that comes twice", "en", "s", 9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `node` string").withColumns({"id": F.lit(7), "score": F.lit(0.5), "secrets": F.lit("s"), "row": F.lit("r")})
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for i, (_, stage) in enumerate(cp.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            if i < len(cp.STAGES) - 1:
+                assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{i}-{frame is docs}"))
+            now = spark.read.parquet(str(tmp_path / f"{i}-{frame is docs}"))
+            if frame is docs and i == 3:
+                texts = {r.doc_id: r.text for r in now.collect()}
+                assert set(texts) == {None, 1, 3, 4} and texts[3] == "[SECRET] " + long and now.count() == 4
+        assert now.select("doc_id").distinct().count() == (4 if frame is docs else 0)
