@@ -1,19 +1,25 @@
 """Main text of web pages by composite text density.
 
 Of every node of a page's tree: the density is its characters for each tag, set off against
-the characters and tags in links; the density sum adds up its children's densities. The node of
-the largest sum is the article's core. The least density on its path to the body is the
-threshold by which subtrees beside the path belong to the article too; where an article or main
-element holds the core, that element is the article. Elements that are never part of an article,
-by their tag or role, are cut off first. Words in class or id are evidence only: an element goes by
-them if they make up a whole token; but on pages without an article or main element outside of
-such elements, those that hold the core or most of the text stay.
+the characters and tags in links; the density sum adds up the densities of its blocks. A block is
+an element that stands for itself, or an inline one that holds such; a run of text beside blocks
+counts as one, and inline elements belong to the text around them. The node of the largest sum is
+the article's core. The least density on its path to the body is the threshold by which subtrees
+beside the path belong to the article too; within an article or main element that holds the core,
+where authors have said what belongs together, it is enough that no more than half of a subtree's
+characters are in links. A heading goes with what follows it.
+
+Elements that are never part of an article, by their tag or role, are cut off first. Words in
+class or id are evidence only: an element goes by them if they make up a whole token; but on pages
+without an article or main element outside of such elements, those that hold the core or most of
+the text stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,15 +38,17 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: An element of the key's kind ends at the start of one of these, up to a scope that holds it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 NEVER = frozenset(("html", "body", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "cut", "doubtful", "block", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool = False, doubtful: bool = False):
         self.tag, self.parent, self.cut, self.doubtful, self.children = tag, parent, cut, doubtful, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = tag in BLOCKS
 
 
 class Tree(HTMLParser):
@@ -49,6 +57,15 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("body", None)
+        self.open: Counter[str] = Counter()  # elements from the root to here, by tag
+
+    def _close(self, node: Node) -> None:
+        """Ends all open elements up to this one."""
+        while self.now is not node:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+        self.open[node.tag] -= 1
+        self.now = node.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -61,23 +78,27 @@ class Tree(HTMLParser):
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as browsers do, "/>" ends only void elements
 
     def _end(self, tags, scope):
+        if not any(self.open[t] for t in tags):
+            return
         node = self.now
         while node.parent is not None and node.tag not in scope | tags:
             node = node.parent
         if node.parent is not None and node.tag in tags:
-            self.now = node.parent
+            self._close(node)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return  # a stray one; no walk to the root
         node = self.now
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.now = node.parent
+        self._close(node)
 
     def handle_data(self, data):
         self.now.children.append(data)
@@ -111,11 +132,20 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _composite(chars: int, tags: int, link_chars: int, link_tags: int, whole: float) -> float:
+    """Characters for each tag, times a logarithm that falls as more of them are in links; whole: the page's share of characters in links."""
+    if not chars:
+        return 0.0
+    tags, link_tags = max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + whole * chars + math.e)
+    return chars / tags * max(math.log(chars / max(link_chars, 1) * tags / link_tags + 1e-9) / base, 0.0)
+
+
 def _measure(root: Node) -> list[Node]:
     nodes = _order(root)
     for node in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
-        node.density = node.total = 0.0
+        node.block = node.tag in BLOCKS
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len(" ".join(x.split()))
@@ -124,15 +154,23 @@ def _measure(root: Node) -> list[Node]:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags
+                node.block = node.block or x.block
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
     whole = root.link_chars / max(root.chars, 1)
     for node in reversed(nodes):
-        c, lc, t, lt = node.chars, node.link_chars, max(node.tags, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + whole * c + math.e)
-            node.density = c / t * max(math.log(c / max(lc, 1) * t / lt + 1e-9) / base, 0.0)
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.cut) + (sum(len(x.strip()) for x in node.children if isinstance(x, str)) if node.tag in BLOCKS else 0)
+        node.density = _composite(node.chars, node.tags, node.link_chars, node.link_tags, whole)
+        run, node.total = [0, 0, 0, 0], 0.0  # of the run of text between blocks: characters, tags, and those of links
+
+        for x in node.children if node.block else ():
+            if isinstance(x, str):
+                run[0] += len(" ".join(x.split()))
+            elif not x.cut and not x.block and x.tag != "br":
+                run = [a + b for a, b in zip(run, (x.chars, x.tags + 1, x.link_chars, x.link_tags), strict=True)]
+            elif not x.cut:
+                node.total += _composite(*run, whole) + x.density
+                run = [0, 0, 0, 0]
+        node.total += _composite(*run, whole)
     return nodes
 
 
@@ -155,8 +193,8 @@ def _judge(root: Node) -> None:
         n.cut = id(n) not in kept
 
 
-def _content(root: Node) -> list[Node]:
-    """The article's subtrees, in page order."""
+def _content(root: Node) -> list:
+    """The article's subtrees and texts beside these, in page order."""
     _judge(root)
     nodes = _measure(root)
     core = max(nodes, key=lambda n: n.total)  # the first of equals, which is the outermost
@@ -165,22 +203,34 @@ def _content(root: Node) -> list[Node]:
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for kind in ("article", "main"):
-        if own := [n for n in path if n.tag == kind]:
-            return [own[-1]]
     least = min(n.density for n in path)
-    keep = {id(core)}
-    for node, inner in zip(path[1:], path, strict=False):
-        keep |= {id(x) for x in node.children if isinstance(x, Node) and not x.cut and x is not inner and x.density >= least}
-    return [root] if core is root else [n for n in _document_order(root) if id(n) in keep]
-
-
-def _document_order(root: Node) -> list[Node]:
-    out, stack = [], [root]
+    named = max((i for i, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+    keep: set = {id(core)}  # nodes, and texts by their parent and place
+    for i, (node, inner) in enumerate(zip(path[1:], path, strict=False), 1):
+        follows = False  # whether what comes after belongs to the article
+        for at in range(len(node.children) - 1, -1, -1):
+            x = node.children[at]
+            if x is inner:
+                follows = True
+            elif isinstance(x, str):
+                if x.strip():
+                    follows = i <= named or len(" ".join(x.split())) >= least
+                    if follows:
+                        keep.add((id(node), at))
+            elif not x.cut and x.chars:
+                if not (x.tag in HEADINGS and follows):
+                    follows = 2 * x.link_chars <= x.chars if i <= named else x.density >= least
+                if follows:
+                    keep.add(id(x))
+    if core is root:
+        return [root]
+    out, stack = [], [(root, (0, 0))]
     while stack:
-        node = stack.pop()
-        out.append(node)
-        stack += [x for x in reversed(node.children) if isinstance(x, Node) and not x.cut]
+        x, place = stack.pop()
+        if place in keep or id(x) in keep and not isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, Node):
+            stack += [(y, (id(x), at)) for at, y in reversed(list(enumerate(x.children))) if isinstance(y, str) or not y.cut]
     return out
 
 
@@ -190,9 +240,10 @@ def extract(html: str | None) -> str:
     tree.feed(html or "")
     tree.close()
     blocks: list[str] = []
+    run: list[str] = []
     for top in _content(tree.root):
-        run: list[str] = []
-        stack: list = [top]
+        edge = [None] if isinstance(top, Node) and top.block else []
+        stack: list = edge + [top] + edge
         while stack:
             x = stack.pop()
             if x is None:
@@ -207,7 +258,7 @@ def extract(html: str | None) -> str:
                 stack += edge + list(reversed(x.children)) + edge
             elif x.tag in BLOCKS:
                 stack.append(None)
-        blocks.append("".join(run))
+    blocks.append("".join(run))
     found = [" ".join(b.split()) for b in blocks]
     return "\n\n".join(b for b in found if b)
 
@@ -226,4 +277,5 @@ def extracted(pages: DataFrame, *, html: str = "html") -> DataFrame:
 
 
 def digest(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of each row, as extracted() has them; null ids and URLs stay null, rows that are alike all stay, an empty table gives an empty one."""
     return extracted(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

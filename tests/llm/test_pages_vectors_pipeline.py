@@ -1,11 +1,15 @@
 """HTML extraction, URL filters, vector search and the pipeline."""
 
 import collections
+import math
 import random
+import time
 
 import numpy as np
 import pytest
 from conftest import MEDIUM, SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_documents import brute_classes, plain_words
 
@@ -31,6 +35,82 @@ def test_class_words_alone_cut_no_article(wrap):
     assert htmltext.extract(PAGE % (wrap % BODY)) == WANT
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content with-sidebar'>%s</div>", "<div class='page no-sidebar'>%s</div>", "<div class='post has-share'>%s</div>", "<article class='hentry comment-open'>%s</article>", "<div class='ad-free article'>%s</div>"])
+def test_words_within_tokens_cut_nothing(wrap):
+    assert htmltext.extract(PAGE % (wrap % BODY)) == WANT
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+def test_density_decides_without_article_or_main():
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>a page of ours number {i}</a></li>" for i in range(40)) + "</ul></div>"
+    text = f"<h2>Title</h2><p>{LONG} one.</p><p>{LONG} two.</p><blockquote>Short.</blockquote><p>{LONG} three.</p>"
+    want = f"Title\n\n{LONG} one.\n\n{LONG} two.\n\nShort.\n\n{LONG} three."
+    page = f"<body>{links}<div><div><p><a href=/l>Latest</a></p><p><a href=/p>Popular</a></p></div></div><div id=x><div>{text}</div></div><div><p><a href=/i>Imprint</a></p></div>{links}</body>"
+    assert htmltext.extract(page) == want
+    # an article element that holds next to nothing doesn't decide
+    assert htmltext.extract(page.replace("<div><p><a href=/i>Imprint</a></p></div>", "<article><p><a href=/i>Imprint</a></p></article>")) == want
+
+
+def test_parts_of_an_article_stay_together():
+    text = f"<h1>Title</h1><p>Lead.</p><section><h2>First</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><h2>Second</h2><p>Short one.</p></section>in between <b>bold</b> text<section><p>{LONG}</p></section>"
+    want = f"Title\n\nLead.\n\nFirst\n\n{LONG}\n\n{LONG}\n\n{LONG}\n\nSecond\n\nShort one.\n\nin between bold text\n\n{LONG}"
+    for tag in ("article", "main"):
+        assert htmltext.extract(f"<body><nav>menu</nav><div><{tag}>{text}</{tag}></div><footer>f</footer></body>") == want
+    assert htmltext.extract(f"<body><div><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div></div></body>") == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+def slow_measures(node, whole):
+    """(block, characters, tags, characters in links, tags in links, density, sum) of a node, each worked out from its children anew."""
+    parts = [(x if isinstance(x, str) else slow_measures(x, whole), x) for x in node.children if isinstance(x, str) or not x.cut]
+    chars = sum(len(" ".join(m.split())) if isinstance(m, str) else m[1] for m, _ in parts)
+    tags = sum(m[2] + 1 for m, _ in parts if not isinstance(m, str))
+    link_chars = chars if node.tag == "a" else sum(m[3] for m, _ in parts if not isinstance(m, str))
+    link_tags = sum(m[4] for m, _ in parts if not isinstance(m, str)) + (node.tag == "a")
+    block = node.tag in htmltext.BLOCKS or any(m[0] for m, _ in parts if not isinstance(m, str))
+
+    def density(c, t, lc, lt):
+        if c == 0:
+            return 0.0
+        t, lt = max(t, 1), max(lt, 1)
+        return max(0.0, c / t * math.log(c / max(lc, 1) * t / lt + 1e-9) / math.log(c * lc / max(c - lc, 1) + whole * c + math.e))
+
+    total, runs = 0.0, [[]]
+    for m, x in parts if block else ():
+        if isinstance(m, str):
+            runs[-1].append((len(" ".join(m.split())), 0, 0, 0))
+        elif m[0] or x.tag == "br":
+            total += m[5]
+            runs.append([])
+        else:
+            runs[-1].append((m[1], m[2] + 1, m[3], m[4]))
+    total += sum(density(*(sum(r[i] for r in run) for i in range(4))) for run in runs)
+    return block, chars, tags, link_chars, link_tags, density(chars, tags, link_chars, link_tags), total
+
+
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<b>", "</b>", "<br>", "<ul><li>", "</ul>", "<nav>", "</nav>", "some words ", "text", LONG, "</i>"]), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_density_sums_equal_slow_ones(parts):
+    tree = htmltext.Tree()
+    tree.feed("".join(parts))
+    tree.close()
+    nodes = htmltext._measure(tree.root)
+    whole = tree.root.link_chars / max(tree.root.chars, 1)
+    for n in nodes:
+        want = slow_measures(n, whole)
+        assert (n.block, n.chars, n.tags, n.link_chars, n.link_tags) == want[:5]
+        assert abs(n.density - want[5]) < 1e-9 * (1 + want[5]) and abs(n.total - want[6]) < 1e-9 * (1 + want[6])
+
+
+def test_long_and_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    assert htmltext.extract("<div>" * 20_000 + "deep" + "</span>" * 20_000 + "</div>" * 20_000) == "deep"
+    many = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
+    assert htmltext.extract(f"<body><nav>menu</nav><div>{many}</div></body>").count("\n\n") == 4999
+    assert time.perf_counter() - began < 30
+
+
 def test_comments_that_are_articles_stay_cut():
     comments = f"<section class=comments><article>{BODY}</article><article>{BODY}</article></section>"
     assert htmltext.extract(PAGE % (f"<article>{BODY}</article>{comments}")) == WANT
