@@ -14,6 +14,8 @@ GROUPS = ("service", "level")
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 MAX_SERVICE_CHARS = 255
 MAX_BIGINT = 2**63 - 1
+# Upper edges of histograms of times, in milliseconds; one more slot has no edge.
+EDGES = (5, 10, 20, 40, 80, 160, 320)
 
 #: Timestamps are UTC instants without a zone, to the microsecond.
 LOGS = T.StructType(

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
+import time
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +31,17 @@ class Manifest:
         files.write_new(self.spark, f"{self.path}/{number + 1:012d}.json", json.dumps(state))
         for n in self._numbers()[:-keep]:
             files.delete(self.spark, f"{self.path}/{n:012d}.json")
+
+    def update(self, change: Callable[[dict], dict | None], tries: int = 200) -> dict:
+        """Commits change(state), anew on the state of whoever was first; None leaves all as it is. The state that holds then."""
+        for _ in range(tries):
+            try:
+                number, state = self.read()
+                after = change(json.loads(json.dumps(state)))
+                if after is None:
+                    return state
+                self.commit(number, after)
+                return after
+            except FileExistsError:
+                time.sleep(random.random() * 0.05)
+        raise TimeoutError(f"{self.path}: too many writers")

@@ -6,18 +6,17 @@ import base64
 import binascii
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.predicates import all_of, before_cursor, entry_filters, has_tokens, time_range
-from ..model import DEFAULT_LIMIT, MAX_BIGINT, MAX_LIMIT, BadRequest
+from ..model import DEFAULT_LIMIT, LOGS, MAX_BIGINT, MAX_LIMIT, BadRequest
 from ..plans.requests import common_filters, instant, single
 
 
-
 def newest_first() -> list:
     return [F.desc("ts"), F.desc("id")]
 
@@ -90,25 +89,40 @@ def page(logs: DataFrame, req: PageRequest) -> DataFrame:
     return rendered(page_keys(logs, req, 0))
 
 
-def two_source_keys(logs: DataFrame, tokens: DataFrame, watermark: int, req: PageRequest, extra: int = 1) -> DataFrame:
-    """(ts, id) of a page by attributes: rows below the watermark by their tokens, checked again on the row itself; others by the rows alone.
+def two_source_rows(logs: DataFrame, tokens: DataFrame, watermark: int, req: PageRequest, extra: int = 1) -> list[Row]:
+    """The rows of a page by attributes, newest first: those below the watermark by their tokens, checked again on the row itself; others by the rows alone.
 
-    Both branches are cut to the page's length before they meet.
+    The newest keys with all tokens are taken a few pages at a time. Rows are then read only
+    between the first and last instant of these keys, given as literals, so that weeks and row
+    groups outside are never opened; if hash collisions leave the page short, the next keys follow.
     """
-    partitioned = "week_start" in logs.columns
-    n = req.limit + extra
-    exact = logs.where(all_of(_key_filters(req, partitioned) + _row_filters(req)))
-    listed = tokens.where(all_of([F.col("id") < F.lit(watermark), *_key_filters(req, False), *has_tokens(req.attributes)])).select("ts", "id")
-    below = listed.join(exact.where(F.col("id") < F.lit(watermark)).select("ts", "id"), ["ts", "id"], "left_semi").orderBy(*newest_first()).limit(n)
-    above = exact.where(F.col("id") >= F.lit(watermark)).select("ts", "id").orderBy(*newest_first()).limit(n)
-    return below.unionByName(above).orderBy(*newest_first()).limit(n)
+    partitioned, n = "week_start" in logs.columns, req.limit + extra
+    above = page_rows(logs.where(F.col("id") >= F.lit(watermark)), req, n)
+    found: list[Row] = []
+    before, take = req.cursor, 2 * n
+    while len(found) < n:
+        part = replace(req, cursor=before)
+        keys = tokens.where(all_of([F.col("id") < F.lit(watermark), *_key_filters(part, False), *has_tokens(req.attributes)])).select("ts", "id").orderBy(*newest_first()).limit(take).collect()
+        if not keys:
+            break
+        low, high = times.to_micros(keys[-1].ts), times.to_micros(keys[0].ts)
+        near = logs.where(all_of(time_range(low, high + 1, partitioned) + [F.col("id") < F.lit(watermark)] + _row_filters(req)))
+        wanted = logs.sparkSession.createDataFrame([(k.ts, k.id) for k in keys], "ts timestamp_ntz, id bigint")
+        found += near.join(F.broadcast(wanted), ["ts", "id"]).select(*LOGS.fieldNames()).orderBy(*newest_first()).limit(n).collect()
+        if len(keys) < take:
+            break
+        before, take = (low, keys[-1].id), min(4 * take, 16 * (MAX_LIMIT + 1))
+    return sorted(above + found, key=lambda r: (r.ts, r.id), reverse=True)[:n]
+
+
+def page_rows(logs: DataFrame, req: PageRequest, n: int) -> list[Row]:
+    return page_keys(logs, req, n - req.limit).select(*LOGS.fieldNames()).collect()
 
 
 def two_source_page(logs: DataFrame, tokens: DataFrame, watermark: int, req: PageRequest, extra: int = 0) -> DataFrame:
-    """The rows of two_source_keys; the keys are at most MAX_LIMIT + 1, which bounds the broadcast."""
-    keys = two_source_keys(logs, tokens, watermark, req, extra)
-    rows = logs.join(F.broadcast(keys), ["ts", "id"])
-    return rows.orderBy(*newest_first())
+    """The rows of two_source_rows, which are at most MAX_LIMIT + 1."""
+    rows = two_source_rows(logs, tokens, watermark, req, extra)
+    return logs.sparkSession.createDataFrame([tuple(r) for r in rows], LOGS).orderBy(*newest_first())
 
 
 def fetch(rows: DataFrame, limit: int) -> tuple[list[dict], str | None]:

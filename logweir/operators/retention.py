@@ -1,14 +1,13 @@
-"""Retention: whole weeks go as directories, the week of the cutoff is written anew, and the derived tables follow one and the same cutoff."""
+"""Retention: rows before the cutoff are in no answer, whole weeks go as directories, and the derived tables follow one and the same cutoff."""
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..model import LOGS
 from ..sources import files
 from ..sources.logs import LogTable
 from .attrindex import TokenTable
@@ -38,24 +37,24 @@ def rollup_after(rollup: DataFrame, logs: DataFrame, watermark: int, at: int, wi
 
 
 def enforce(table: LogTable, at: int, rollup: RollupTable | None = None, tokens: TokenTable | None = None) -> dict:
-    """Applies the cutoff everywhere. The pre-aggregate and tokens are cut first to nothing older; a run that dies is run again."""
-    spark = table.spark
+    """Applies the cutoff everywhere; a later one that holds already stays.
+
+    The cutoff is committed first, and from then on no answer from rows holds an older one. What
+    follows only makes the derived tables agree and frees space, each step whole or not at all: a
+    run that dies anywhere is run again, and nothing that is kept is ever moved or written anew.
+    The week that the cutoff cuts stays stored until all of it is older.
+    """
+    at = table.cut(at)
     if rollup is not None:
-        state = rollup.state()
-        rollup.replace(rollup_after(rollup.read(state), table.read(), state["watermark_id"], at, state["width"]))
-    gone, rewritten = [], None
-    day = times.from_micros(at).date()
+        rollup.replace(lambda state: rollup_after(rollup.read(state), table.read(), state["watermark_id"], at, state["width"]))
+    if tokens is not None:
+        tokens.trim(times.at(at))
+    gone, cut = [], None
     for week in table.weeks():
         start = date.fromisoformat(week)
-        if start + timedelta(days=7) <= day:
-            files.delete(spark, f"{table.path}/week_start={week}")
+        if times.to_micros(datetime.combine(start + timedelta(days=7), datetime.min.time())) <= at:
+            files.delete(table.spark, f"{table.path}/week_start={week}")
             gone.append(week)
-        elif times.to_micros(times.from_micros(0).replace(year=start.year, month=start.month, day=start.day)) < at:
-            here, beside = f"{table.path}/week_start={week}", f"{table.path}/_keep-{week}"
-            spark.read.schema(LOGS).parquet(here).where(F.col("ts") >= times.at(at)).sortWithinPartitions("service", "id").write.mode("overwrite").parquet(beside)
-            files.delete(spark, here)
-            files.rename(spark, beside, here)
-            rewritten = week
-    if tokens is not None:
-        tokens.trim(times.at(at))
-    return {"dropped": gone, "rewritten": rewritten}
+        elif times.to_micros(datetime.combine(start, datetime.min.time())) < at:
+            cut = week
+    return {"cutoff": at, "dropped": gone, "cut": cut}

@@ -2,13 +2,16 @@
 
 A fold counts the rows of [from, to) into a delta of its own and then commits the watermark
 "to". Rows at or above the watermark are never in the pre-aggregate, those below always, however
-late their timestamps are. A fold that dies leaves a delta that no manifest names; the next fold
-of the range overwrites it.
+late their timestamps are. A fold that dies leaves a delta that no manifest names. Ids are
+reserved before their rows are stored: who folds beside writers must say below which id all rows
+are there, or rows of an unfinished write would be passed by for good.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,19 +52,26 @@ class RollupTable:
         state = self.state()
         return {"rollup": self.read(state), "watermark": state["watermark_id"], "stored": state["width"]}
 
-    def fold(self, logs: DataFrame, *, now: int | None = None, first_id: int = 0) -> str:
-        """Folds what is new, at most max_fold_rows ids, and commits; a summary of what was done."""
+    def fold(self, logs: DataFrame, *, now: int | None = None, first_id: int = 0, below: int | None = None) -> str:
+        """Folds what is new, at most max_fold_rows ids, and commits; a summary of what was done.
+
+        below: all rows of smaller ids are stored, and in logs. Without it the largest id in logs
+        bounds the fold, which is right only if nobody is writing. Of two folds of one range, one
+        commits and the other fails.
+        """
         number, state = self.manifest.read()
         began = time.time()
         low = max(state["watermark_id"], first_id)
-        last = logs.agg(F.max("id")).first()[0]
-        high = min((-1 if last is None else last) + 1, low + self.settings.max_fold_rows)
+        if below is None:
+            last = logs.agg(F.max("id")).first()[0]
+            below = 0 if last is None else last + 1
+        high = min(below, low + self.settings.max_fold_rows)
         if high <= low:
             return NOTHING
-        name = f"delta-{low:020d}-{high:020d}"
-        folded(logs, low, high, state["width"]).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        name = f"delta-{low:020d}-{high:020d}-{uuid.uuid4().hex[:8]}"
+        folded(logs, low, high, state["width"]).write.parquet(f"{self.path}/{name}")
         rows = self.spark.read.schema(DELTA).parquet(f"{self.path}/{name}").agg(F.coalesce(F.sum("entry_count"), F.lit(0))).first()[0]
-        behind = high <= last
+        behind = high < below
         if not behind and now is not None:
             safe = times.floor_to(now - self.settings.rollup_lag_seconds * times.SECOND, state["width"])
             state["safe_before"] = max(state["safe_before"] or safe, safe)
@@ -73,11 +83,7 @@ class RollupTable:
 
     def compact(self) -> None:
         """Sums all deltas into one; the old ones stay until purge()."""
-        number, state = self.manifest.read()
-        name = f"delta-compact-{number + 1:012d}"
-        rows = self.read(state).groupBy("bucket_start", "service", "level").agg(F.sum("entry_count").cast("long").alias("entry_count"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.manifest.commit(number, state | {"deltas": [name]})
+        self.replace(lambda state: self.read(state).groupBy("bucket_start", "service", "level").agg(F.sum("entry_count").cast("long").alias("entry_count")))
 
     def rebuild(self, width: int) -> None:
         """Begins anew at another width."""
@@ -85,12 +91,16 @@ class RollupTable:
         number, state = self.manifest.read()
         self.manifest.commit(number, state | {"width": width, "watermark_id": 0, "deltas": [], "safe_before": None})
 
-    def replace(self, rows: DataFrame) -> None:
-        """Puts these rows in the place of all deltas; the watermark stays."""
-        number, state = self.manifest.read()
-        name = f"delta-kept-{number + 1:012d}"
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.manifest.commit(number, state | {"deltas": [name]})
+    def replace(self, rows: Callable[[dict], DataFrame]) -> None:
+        """Puts rows(state) in the place of all deltas; the watermark stays. If another writer commits meanwhile, it is done anew on that state."""
+        while True:
+            number, state = self.manifest.read()
+            name = f"delta-kept-{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+            rows(state).write.parquet(f"{self.path}/{name}")
+            try:
+                return self.manifest.commit(number, state | {"deltas": [name]})
+            except FileExistsError:
+                files.delete(self.spark, f"{self.path}/{name}")
 
     def purge(self) -> int:
         """Deletes deltas that the last manifest doesn't name. Readers of older snapshots must be done."""

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import times
 from ..functions.strings import attribute_map
+from ..model import EDGES
 
 RESERVOIR = 4096
-EDGES = (5, 10, 20, 40, 80, 160, 320)
 
 
 def reservoir_percentiles(rows: DataFrame, key: str, value: str, order: list[Column], percents=(50, 95, 99), size: int = RESERVOIR) -> DataFrame:
@@ -98,8 +98,9 @@ def numbered(logs: DataFrame, seconds: int = 86400) -> DataFrame:
 
 
 def boundary_cursors(logs: DataFrame, limit: int, pages: int) -> DataFrame:
-    """(page, ts, id): the last row of each of the first pages."""
-    return numbered(logs).where((F.col("rn") % limit == 0) & (F.col("rn") <= limit * pages)).select((F.col("rn") / limit).cast("long").alias("page"), "ts", "id")
+    """(page, ts, id): the last row of each of the first pages. Only the rows of these pages are numbered: a top-k, cut before it is shuffled."""
+    first = logs.select("ts", "id").orderBy(F.desc("ts"), F.desc("id")).limit(limit * pages)
+    return numbered(first).where((F.col("rn") % limit == 0) & (F.col("rn") <= limit * pages)).select((F.col("rn") / limit).cast("long").alias("page"), "ts", "id")
 
 
 def order_violations(walk: DataFrame) -> DataFrame:
@@ -130,10 +131,20 @@ def request_keys(requests: DataFrame, key: str) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_requests"), F.count("*").alias("n_distinct")).withColumn("n_repeats", F.col("n_requests") - F.col("n_distinct"))
 
 
-def concurrent_repeats(requests: DataFrame, key: str, begin: str, end: str) -> DataFrame:
-    """One row: requests that begin while an earlier one with the same key still runs."""
-    before = F.max(end).over(Window.partitionBy(key).orderBy(begin, end).rowsBetween(Window.unboundedPreceding, -1))
-    return requests.withColumn("_before", before).agg(F.count_if(F.col("_before") > F.col(begin)).alias("n_concurrent"))
+def concurrent_repeats(requests: DataFrame, key: str, begin: str, end: str, slice_seconds: int = 3600) -> DataFrame:
+    """One row: requests that begin while an earlier one with the same key still runs; of those that begin at once, all but the one that ends first.
+
+    Requests are dealt to slices of time by their begin, and a window runs in each slice alone; how
+    far earlier slices of the key reach comes from their latest ends, one row a slice, so that a
+    busy key is dealt over its slices.
+    """
+    bin_ = times.time_bin(F.col(begin), slice_seconds)
+    rows = requests.select(F.col(key).alias("key"), F.col(begin).alias("begin"), F.col(end).alias("end"), bin_.alias("slice")).where("begin is not null")
+    within = F.max("end").over(Window.partitionBy("key", "slice").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
+    reach = rows.groupBy("key", "slice").agg(F.max("end").alias("latest"))
+    reach = reach.select("key", "slice", F.max("latest").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
+    both = rows.withColumn("within", within).join(reach, (rows["key"].eqNullSafe(reach["key"])) & (rows["slice"] == reach["slice"]))
+    return both.agg(F.count_if(F.coalesce(F.greatest("within", "reach") > F.col("begin"), F.lit(False))).alias("n_concurrent"))
 
 
 def backlog(logs: DataFrame, watermark: int) -> DataFrame:

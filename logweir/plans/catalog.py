@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.strings import contains_folded, copy_escaped, sanitized
-from ..model import BUCKETS
+from ..model import BUCKETS, Settings
 from ..operators import attrindex, page, retention, rollup, stats, validate
-from ..operators.aggregate import buckets, conservation, counts, merged
-from ..sources.logs import entries, from_events, seeded
+from ..operators.aggregate import answer, buckets, conservation, merged
+from ..sources import files
+from ..sources.logs import LogTable, entries, from_events, seeded
+from ..streaming.ingest import Engine
 from .routing import AggregateRequest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +25,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 LOGS = """logs AS (SELECT event_id AS id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'signup' THEN 'info' ELSE 'debug' END AS level,
   'svc-' || (user_id % 8) AS service, event_type || ' by user ' || user_id AS message, props AS attributes FROM events)"""
+#: The same logs with several attributes of different types, and with wildcard characters in some messages.
+RICH = LOGS.replace("logs AS", "rich AS").replace("event_type || ' by user ' || user_id AS message", "CASE WHEN user_id % 5 = 0 THEN '100%_of ' ELSE '' END || event_type || ' by user ' || user_id AS message, event_type, user_id, event_id, json_extract_string(props, '$.k') AS k")
 SINCE, UNTIL = "2024-01-01", "2024-02-01"
 UNALIGNED = ("2024-01-05T10:17:23.000451Z", "2024-01-21T03:44:59.999950Z")
 
@@ -29,11 +35,20 @@ def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def rich_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("int").alias("k")
+    attributes = F.to_json(F.struct(k, F.col("event_type").alias("type"), (F.col("user_id") / 4).alias("ratio"), (F.col("event_id") % 2 == 0).alias("even")))
+    marked = F.concat(F.when(F.col("user_id") % 5 == 0, "100%_of ").otherwise(""), "message")
+    return from_events(events.withColumn("props", attributes)).join(events.select(F.col("event_id").alias("id"), "user_id"), "id").withColumn("message", marked).drop("user_id")
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = f"WITH {LOGS} {sql}" if "logs" in sql and not sql.lstrip().startswith("WITH") else sql
+            needs = [text for table, text in (("logs", LOGS), ("rich", RICH)) if re.search(rf"\b{table}\b", sql)]
+            ORACLE_SQL[name] = f"WITH {', '.join(needs)} {sql}" if needs and not sql.lstrip().startswith("WITH") else sql
         return f
 
     return add
@@ -62,27 +77,52 @@ for _name, _req, _sql in (
     ("service_level", request("1d", service="svc-1", level="warn"), count_sql("1d", None, "service = 'svc-1' AND level = 'warn'")),
     ("q", request("1d", q="BY USER 12", group_by="level"), count_sql("1d", "level", "contains(lower(message), 'by user 12')")),
     ("attr", request("1d", attributes={"k": "7"}), count_sql("1d", None, "json_extract_string(attributes, '$.k') = '7'")),
-    ("multi_attr", request("1d", attributes={"k": "7", "absent": "x"}), count_sql("1d", None, "json_extract_string(attributes, '$.k') = '7' AND json_extract_string(attributes, '$.absent') = 'x'")),
     ("unaligned", request("5m", *UNALIGNED), count_sql("5m", None, since=UNALIGNED[0], until=UNALIGNED[1])),
-    ("empty", request(until=SINCE), count_sql("1h", None, until=SINCE)),
 ):
     _counting(f"agg_filter_{_name}", _req, _sql)
 
 
+for _name, _attrs, _where in (
+    ("multi_attr", {"k": "7", "type": "click"}, "k = '7' AND event_type = 'click'"),
+    ("typed_attr", {"even": "true", "ratio": "2.5"}, "event_id % 2 = 0 AND user_id = 10"),
+    ("absent_attr", {"k": "7", "absent": "x"}, "FALSE"),
+):
+    query(f"agg_filter_{_name}", f"SELECT CAST(coalesce(sum(count), 0) AS BIGINT) AS rows, count(*) AS buckets FROM ({count_sql('1d', None, _where).replace('FROM logs', 'FROM rich')})")(
+        lambda spark, sf_dir, a=_attrs: buckets(rich_of(spark, sf_dir), request("1d", attributes=a)).agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("rows"), F.count("*").alias("buckets"))
+    )
+
+
+@query("agg_filter_empty", f"SELECT count(*) AS buckets FROM ({count_sql('1h', None, until=SINCE)})")
+def _empty(spark, sf_dir):
+    return buckets(logs_of(spark, sf_dir), request(until=SINCE)).agg(F.count("*").alias("buckets"))
+
+
 @query("rollup_fold_10s", "SELECT time_bucket(INTERVAL 10 SECONDS, ts, TIMESTAMP '1970-01-01') AS bucket_start, service, level, count(*) AS entry_count FROM logs GROUP BY ALL")
 def _fold(spark, sf_dir):
     return rollup.folded(logs_of(spark, sf_dir), 0, 2**62)
 
 
+def stored_rollup(spark: SparkSession, logs: DataFrame, below: int, folds: int = 3, **settings) -> rollup.RollupTable:
+    """A pre-aggregate of its own, folded in a few steps up to an id."""
+    table = rollup.RollupTable(spark, scratch(spark, "rollup"), Settings(max_fold_rows=max(1, -(-below // folds)), **settings))
+    while table.fold(logs, below=below) != rollup.NOTHING:
+        pass
+    return table
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{files.shared_dir(spark)}/logweir/{name}-{uuid.uuid4().hex}"
+
+
 @query("rollup_incremental_fold", "SELECT time_bucket(INTERVAL 10 SECONDS, ts, TIMESTAMP '1970-01-01') AS bucket_start, service, level, count(*) AS entry_count FROM logs GROUP BY ALL")
 def _fold_twice(spark, sf_dir):
-    logs = logs_of(spark, sf_dir)
-    both = rollup.folded(logs, 0, 400).unionByName(rollup.folded(logs, 400, 2**62))
-    return both.groupBy("bucket_start", "service", "level").agg(F.sum("entry_count").cast("long").alias("entry_count"))
+    table = stored_rollup(spark, logs_of(spark, sf_dir), 2 * _half(spark, sf_dir), folds=5)
+    table.compact()
+    return table.read()
 
 
 def _hybrid(logs: DataFrame, req: AggregateRequest, watermark: int) -> DataFrame:
-    return buckets(logs, req, rollup=rollup.folded(logs, 0, watermark), watermark=watermark, stored=10)
+    return buckets(logs, req, **stored_rollup(logs.sparkSession, logs, watermark).source())
 
 
 def _half(spark, sf_dir: str) -> int:
@@ -104,7 +144,7 @@ def _late(spark, sf_dir):
 
 @query("agg_rollup_only", count_sql("1d", "service"))
 def _rollup_only(spark, sf_dir):
-    return _hybrid(logs_of(spark, sf_dir), request("1d", group_by="service"), 2**62)
+    return _hybrid(logs_of(spark, sf_dir), request("1d", group_by="service"), 2 * _half(spark, sf_dir))
 
 
 @query("agg_merged_halves", count_sql("1h", "service"))
@@ -113,16 +153,27 @@ def _merged(spark, sf_dir):
     return merged(buckets(logs, request(until="2024-01-15T12:30:00Z", group_by="service")), buckets(logs, request(since="2024-01-15T12:30:00Z", group_by="service")))
 
 
-@query("agg_path_rows", f"SELECT 'raw' AS path, count(*) AS raw_rows FROM logs WHERE contains(lower(message), 'error') AND ts < TIMESTAMP '{UNTIL}'")
+@query(
+    "agg_path_rows",
+    f"""SELECT * FROM (SELECT 'search' AS request, 'raw' AS path, count(*) AS rows FROM logs WHERE contains(lower(message), 'error') UNION ALL SELECT 'aligned', 'rollup', count(*) FROM logs
+UNION ALL SELECT 'unaligned', 'hybrid', count(*) FROM logs WHERE ts >= TIMESTAMP '{times.from_micros(times.parse_iso(UNALIGNED[0]))}' AND ts < TIMESTAMP '{times.from_micros(times.parse_iso(UNALIGNED[1]))}' UNION ALL SELECT 'empty', 'raw', 0)""",
+)
 def _path(spark, sf_dir):
-    found = counts(logs_of(spark, sf_dir), request("1d", q="error"), rollup=rollup.folded(logs_of(spark, sf_dir), 0, 10), watermark=10)
-    return found.agg(F.when(F.sum("rollup_rows") == 0, "raw").otherwise("hybrid").alias("path"), F.sum("raw_rows").alias("raw_rows"))
+    logs = logs_of(spark, sf_dir)
+    whole, half = (stored_rollup(spark, logs, n).source() for n in (2 * _half(spark, sf_dir), _half(spark, sf_dir)))
+    found = []
+    for name, req, source in (("search", request("1d", q="error"), whole), ("aligned", request("1d"), whole), ("unaligned", request("1m", *UNALIGNED), half), ("empty", request(until=SINCE), whole)):
+        rows, path = answer(logs, req, **source)
+        found.append((name, path, sum(r["count"] for r in rows)))
+    return spark.createDataFrame(found, "request string, path string, rows long")
 
 
-@query("conservation_check", "SELECT count(*) AS n_logs, count(*) AS n_rollup FROM logs")
+@query("conservation_check", "SELECT count(*) AS n_logs, count(*) AS n_rollup FROM logs WHERE id < (SELECT max(id) FROM logs) - 10")
 def _conservation(spark, sf_dir):
-    logs = logs_of(spark, sf_dir)
-    return conservation(logs, rollup.folded(logs, 0, 2**62), 2**62)
+    logs = LogTable(spark, scratch(spark, "logs"))
+    logs.append(logs_of(spark, sf_dir))
+    below = 2 * _half(spark, sf_dir) - 11  # the last writes aren't settled
+    return conservation(logs.read(), stored_rollup(spark, logs.read(), below).read(), below)
 
 
 @query("rollup_bounds", "SELECT min(b) AS oldest, max(b) AS newest FROM (SELECT time_bucket(INTERVAL 10 SECONDS, ts, TIMESTAMP '1970-01-01') AS b FROM logs)")
@@ -140,10 +191,15 @@ def _paged(name: str, req: page.PageRequest, where: str) -> None:
 _paged("page_first", page.PageRequest(), "TRUE")
 _paged("page_filtered", page.PageRequest(service="svc-2", level="debug", since=times.parse_iso("2024-01-10"), until=times.parse_iso("2024-01-20")), "service = 'svc-2' AND level = 'debug' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
 _paged("page_q", page.PageRequest(q="Purchase BY", limit=50), "contains(lower(message), 'purchase by')")
-_paged("page_q_wildcard", page.PageRequest(q="%"), "contains(message, '%')")
 _paged("page_attr", page.PageRequest(attributes={"k": "42"}, limit=1000), "json_extract_string(attributes, '$.k') = '42'")
 
 
+for _name, _q in (("page_q_wildcard", "%"), ("page_q_wildcards", "100%_OF P")):
+    query(_name, f"{PAGE.replace('attributes', 'k').replace('FROM logs', 'FROM rich')} WHERE contains(lower(message), '{_q.lower()}') ORDER BY ts DESC, rich.id DESC LIMIT 100")(
+        lambda spark, sf_dir, q=_q: page.page(rich_of(spark, sf_dir), page.PageRequest(q=q)).withColumn("k", F.get_json_object("attributes", "$.k")).drop("attributes")
+    )
+
+
 @query("page_limit_plus_one", f"{PAGE} ORDER BY ts DESC, logs.id DESC LIMIT 101")
 def _look_ahead(spark, sf_dir):
     return page.rendered(page.page_keys(logs_of(spark, sf_dir), page.PageRequest()))
@@ -159,7 +215,15 @@ def _second(spark, sf_dir):
 @query("page_attr_two_source", f"{PAGE} WHERE json_extract_string(attributes, '$.k') = '42' AND level <> 'x' ORDER BY ts DESC, logs.id DESC LIMIT 100")
 def _two_source(spark, sf_dir):
     logs, half = logs_of(spark, sf_dir), _half(spark, sf_dir)
-    return page.rendered(page.two_source_page(logs, attrindex.indexed(logs, 0, half), half, page.PageRequest(attributes={"k": "42"})))
+    return page.rendered(page.two_source_page(logs, stored_tokens(spark, logs, half).read(), half, page.PageRequest(attributes={"k": "42"})))
+
+
+def stored_tokens(spark: SparkSession, logs: DataFrame, below: int) -> attrindex.TokenTable:
+    """A token table of its own, indexed up to an id."""
+    table = attrindex.TokenTable(spark, scratch(spark, "tokens"), Settings(index_min_rows=max(1, -(-below // 2)), index_max_rows=max(200, below)))
+    while table.index(logs, below):
+        pass
+    return table
 
 
 @query("q_unicode_documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ñ') OR contains(lower(text), 'é')")
@@ -168,10 +232,11 @@ def _unicode(spark, sf_dir):
     return docs.where(contains_folded(F.col("text"), "Ñ") | contains_folded(F.col("text"), "É")).select("doc_id")
 
 
-@query("q_literal_wildcard", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), '_') OR contains(lower(text), '%')")
+@query("q_literal_wildcard", "SELECT doc_id, contains(lower(text), '%%%') AS percents, contains(lower(text), '_') AS underscores FROM documents WHERE contains(lower(text), '%%%') OR contains(lower(text), '_')")
 def _wildcard(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.where(contains_folded(F.col("text"), "_") | contains_folded(F.col("text"), "%")).select("conv_id", "turn")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    percents, underscores = contains_folded(F.col("text"), "%%%"), contains_folded(F.col("text"), "_")
+    return docs.where(percents | underscores).select("doc_id", percents.alias("percents"), underscores.alias("underscores"))
 
 
 for _name, _rare in (("top", False), ("bottom", True)):
@@ -180,10 +245,10 @@ for _name, _rare in (("top", False), ("bottom", True)):
     )
 
 
-@query("attr_token_selfconsistency")
+@query("attr_token_selfconsistency", "SELECT count(*) AS n_hits, count(*) AS n_rows FROM logs WHERE json_extract_string(attributes, '$.k') = '42'")
 def _tokens(spark, sf_dir):
     logs = logs_of(spark, sf_dir)
-    hits = attrindex.indexed(logs, 0, 2**62).where(page.has_tokens({"k": "42"})[0])
+    hits = stored_tokens(spark, logs, 2 * _half(spark, sf_dir)).read().where(page.has_tokens({"k": "42"})[0])
     return hits.agg(F.count("*").alias("n_hits")).join(logs.where(page.all_of(page.entry_filters(attributes={"k": "42"}))).agg(F.count("*").alias("n_rows")))
 
 
@@ -372,10 +437,14 @@ def _weeks(spark, sf_dir):
     return logs_of(spark, sf_dir).groupBy(times.week_start(F.col("ts")).cast("string").alias("week_start")).agg(F.count("*").alias("n"))
 
 
-@query("service_clustered_counts", "SELECT service, count(*) AS n FROM logs GROUP BY 1")
+@query("service_clustered_counts", "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week_start, count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM logs GROUP BY 1")
 def _clustered(spark, sf_dir):
-    rows = logs_of(spark, sf_dir).withColumn("week_start", times.week_start(F.col("ts"))).repartition("week_start").sortWithinPartitions("service", "id")
-    return rows.groupBy("service").agg(F.count("*").alias("n"))
+    """Rows of the stored files at which service and id fall below those of the row before."""
+    table = LogTable(spark, scratch(spark, "logs"))
+    table.append(logs_of(spark, sf_dir))
+    rows = table.read().select("week_start", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct("service", "id").alias("here"))
+    after = rows.select("file", (F.col("at") - 1).alias("at"), F.col("here").alias("next"))
+    return rows.join(after, ["file", "at"], "left").groupBy(F.col("week_start").cast("string").alias("week_start")).agg(F.count("*").alias("n"), F.count_if(F.col("next") < F.col("here")).alias("out_of_order"))
 
 
 @query("seeded_source", """SELECT ['debug', 'info', 'warn', 'error'][1 + n % 4] AS level, ['api', 'auth', 'billing', 'cart', 'mail', 'search', 'stock', 'web'][1 + n % 8] AS service, count(*) AS n FROM (SELECT unnest(range(1, 2001)) AS n) GROUP BY ALL""")
@@ -386,13 +455,10 @@ def _seeded(spark, sf_dir):
 @query("stream_fold_equals_batch", "SELECT time_bucket(INTERVAL 10 SECONDS, ts, TIMESTAMP '1970-01-01') AS bucket_start, service, level, count(*) AS entry_count FROM logs GROUP BY ALL")
 def _stream(spark, sf_dir):
     """Stores the rows, lets the stream fold them, and reads the pre-aggregate."""
-    import tempfile
-    import uuid
-
-    from ..streaming.ingest import Engine
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logweir-")
-    engine = Engine(spark, f"{shared.rstrip('/')}/logweir/stream-{uuid.uuid4().hex}")
-    engine.logs.append(logs_of(spark, sf_dir).withColumn("id", F.col("id") + 1))
+    engine = Engine(spark, scratch(spark, "stream"), clock=lambda: times.parse_iso(UNTIL))
+    engine.adopt(logs_of(spark, sf_dir).withColumn("id", F.col("id") + 1))
     engine.follow().awaitTermination()
     return engine.rollup.read()
+
+
+from . import stored  # noqa: E402,F401  its queries register themselves

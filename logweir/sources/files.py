@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, which only a local master allows, a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="logweir-"))
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -35,15 +52,30 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_new(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside and renames; fails if the file is there, so that of two writers one wins."""
+    """Creates the file, whole at once, or fails if it is there: of several writers one wins.
+
+    The text is written under a name of its own and then gets its place by a step that the store
+    takes at once and refuses if the place is taken: a hard link on a local disk, a rename without
+    overwriting elsewhere. A writer that dies leaves a file that nobody reads.
+    """
     p, fs = _fs(spark, path)
-    if fs.exists(p):
-        raise FileExistsError(path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    stream = fs.create(beside, True)
+    jvm = spark._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(beside, False)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if not fs.rename(beside, p):
-        raise FileExistsError(path)
+    try:
+        if fs.getUri().getScheme() == "file":
+            to_java = lambda x: jvm.java.nio.file.Paths.get(fs.makeQualified(x).toUri())
+            jvm.java.nio.file.Files.createLink(to_java(p), to_java(beside))
+        else:
+            never = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, p, never)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from e
+        raise
+    finally:
+        fs.delete(beside, False)

@@ -43,6 +43,10 @@ class Gate:
     def __init__(self, settings: Settings = Settings()):
         self.lanes = {"bounded": Lane(settings.bounded_slots), "scan": Lane(settings.scan_slots), "marker": Lane(1)}
 
+    def busy(self) -> bool:
+        """Whether a query waits for its turn."""
+        return any(lane.waiting for lane in self.lanes.values())
+
     @contextmanager
     def admitted(self, lane: str):
         began = time.perf_counter()
@@ -103,6 +107,28 @@ class Metrics:
             self.latency.setdefault(name, Reservoir()).record(trace["ms"])
             self.traces.append(trace)
 
+    @contextmanager
+    def stage(self, trace: dict, name: str):
+        """Adds the time of a stage to a trace."""
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            trace[f"{name}_ms"] = trace.get(f"{name}_ms", 0.0) + (time.perf_counter() - began) * 1000
+
+    def decomposition(self) -> dict:
+        """By name and path of the traces in the ring: how many, the mean time, and of it the mean of each stage and of what no stage holds."""
+        groups: dict[tuple, list[dict]] = {}
+        for t in self.traces:
+            groups.setdefault((t["name"], t.get("path")), []).append(t)
+        out = {}
+        for (name, path), own in groups.items():
+            stages = sorted({k for t in own for k in t if k.endswith("_ms")})
+            mean = {k: sum(t.get(k, 0.0) for t in own) / len(own) for k in stages}
+            whole = sum(t["ms"] for t in own) / len(own)
+            out[name if path is None else f"{name} {path}"] = {"traces": len(own), "ms": whole, **mean, "other_ms": whole - sum(mean.values())}
+        return out
+
     def snapshot(self) -> dict:
         return {"counts": dict(self.counts), "latency": {k: r.percentiles() for k, r in self.latency.items()}}
 

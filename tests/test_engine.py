@@ -137,7 +137,7 @@ def test_retention_uses_one_cutoff_everywhere(spark, tmp_path):
     tokens.index(table.read(), 1200)
     at = times.parse_iso("2024-01-10T13:00:03.25Z")
     done = retention.enforce(table, at, counts, tokens)
-    assert done["dropped"] == ["2024-01-01"] and done["rewritten"] == "2024-01-08"
+    assert done == {"cutoff": at, "dropped": ["2024-01-01"], "cut": "2024-01-08"}
     kept = table.read()
     assert kept.count() == logs.where(F.col("ts") >= times.at(at)).count()
     assert kept.where(F.col("ts") < times.at(at)).count() == 0
@@ -256,6 +256,239 @@ def test_stream_folds_more_rows_than_one_fold_takes(spark, tmp_path):
     assert (state["watermark_id"], state["behind"], state["refreshes"]) == (91, False, 4)
 
 
+def entry_rows(spark, n, first=0):
+    rows = [(i, json.dumps({"timestamp": f"2024-05-20T10:{i % 60:02d}:00Z", "level": LEVELS[i % 4], "service": f"s{i % 3}", "message": f"m {i}", "attributes": {"i": i}})) for i in range(first, first + n)]
+    return spark.createDataFrame(rows, "index long, entry string")
+
+
+def folded_rows(engine):
+    return engine.rollup.read().agg(F.coalesce(F.sum("entry_count"), F.lit(0))).first()[0]
+
+
+ALL_MAY = AggregateRequest(times.parse_iso("2024-05-01"), times.parse_iso("2024-06-01"), "1h", "service")
+
+
+def test_a_slow_writer_is_waited_for(spark, tmp_path, monkeypatch):
+    """Two writers: the first reserves ids and stores late, the second stores at once."""
+    now = times.parse_iso("2024-06-01T12:00:00Z")
+    engine = Engine(spark, str(tmp_path / "store"), clock=lambda: now)
+    started, go_on = threading.Event(), threading.Event()
+    append = engine.logs.append
+
+    def slow(rows):
+        if threading.current_thread().name == "slow":
+            started.set()
+            assert go_on.wait(120)
+        append(rows)
+
+    monkeypatch.setattr(engine.logs, "append", slow)
+    first = threading.Thread(target=engine.write_batch, args=(entry_rows(spark, 30), 0, "slow"), name="slow")
+    first.start()
+    assert started.wait(120)
+    engine.write_batch(entry_rows(spark, 20, 30), 0, "fast")
+    engine.maintain()
+    assert engine.settled() == 1 and folded_rows(engine) == 0 and engine.logs.read().count() == 20
+    want = answer(engine.logs.read(), ALL_MAY)[0]
+    assert answer(engine.logs.read(), ALL_MAY, **engine.rollup.source()) == (want, "raw")
+    go_on.set()
+    first.join()
+    engine.maintain()
+    assert engine.settled() == 51 and folded_rows(engine) == engine.logs.read().count() == 50
+    assert engine.tokens.state()["watermark_id"] == 51
+    ids = sorted(r.id for r in engine.logs.read().select("id").collect())
+    assert ids == list(range(1, 51))
+
+
+def test_a_half_visible_write_is_not_folded_and_comes_whole(spark, tmp_path, monkeypatch):
+    clock = [times.parse_iso("2024-05-20T10:20:00Z")]
+    engine = Engine(spark, str(tmp_path / "store"), clock=lambda: clock[0])
+    engine.write_batch(entry_rows(spark, 10), 0, "a")
+    batch = entry_rows(spark, 40, 10)  # half of them are too far ahead of the clock
+    append = engine.logs.append
+
+    def dies(rows):
+        append(rows.where("id % 2 = 0"))
+        raise OSError("lost")
+
+    monkeypatch.setattr(engine.logs, "append", dies)
+    with pytest.raises(OSError, match="lost"):
+        engine.write_batch(batch, 0, "b")
+    monkeypatch.undo()
+    engine.write_batch(entry_rows(spark, 6), 1, "a")
+    engine.maintain()
+    assert engine.settled() == 11 and folded_rows(engine) == 10
+    half = engine.logs.read().count()
+    assert 16 < half
+    clock[0] += 3600 * times.SECOND  # a later clock would accept more
+    engine.write_batch(batch, 0, "b")  # comes again
+    engine.write_batch(batch, 0, "b")  # and again, when it is whole
+    engine.maintain()
+    rows = engine.logs.read().collect()
+    assert len({r.id for r in rows}) == len(rows) == folded_rows(engine) == 10 + 6 + 16
+    assert sum(r.message in {f"m {i}" for i in range(10, 50)} for r in rows) == 16  # ten past to twenty-five past the hour
+    row = engine.stats()
+    assert row["ingest"]["open_writes"] == 0 and row["rollup"]["settled"] == engine.settled()
+
+
+def test_an_abandoned_write_can_be_finished(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), clock=lambda: times.parse_iso("2024-06-01"))
+    engine.reserve("gone-0", 100, 0)
+    engine.write_batch(entry_rows(spark, 5), 0)
+    engine.maintain()
+    assert folded_rows(engine) == 0
+    engine.finish("gone-0")
+    engine.maintain()
+    assert folded_rows(engine) == 5 and engine.settled() == 106
+
+
+def test_adopted_rows_are_folded_and_keep_their_ids(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), clock=lambda: times.parse_iso("2024-01-02"))
+    engine.adopt(seeded(spark, 200, days=1))
+    engine.write_batch(entry_rows(spark, 3).limit(0), 0)
+    engine.maintain()
+    assert folded_rows(engine) == 200 and engine.settled() == 201
+    with pytest.raises(ValueError, match="below the watermark"):
+        engine.adopt(seeded(spark, 5))
+    engine.adopt(seeded(spark, 5).limit(0), "nothing")
+
+
+def test_commits_are_exclusive(spark, tmp_path):
+    from logweir.operators.manifest import Manifest
+
+    m = Manifest(spark, str(tmp_path / "m"), {"n": 0})
+    m.commit(0, {"n": 1})
+    with pytest.raises(FileExistsError):
+        m.commit(0, {"n": 9})
+    assert m.read() == (1, {"n": 1})
+    errors = []
+
+    def add():
+        try:
+            for _ in range(5):
+                m.update(lambda s: {"n": s["n"] + 1})
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    writers = [threading.Thread(target=add) for _ in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert not errors and m.read()[1] == {"n": 21}
+    assert m.update(lambda s: None) == {"n": 21}
+    assert not [f for f in (tmp_path / "m" / "_manifests").iterdir() if f.name.endswith(".tmp")]
+
+
+def test_retention_that_dies_anywhere_loses_nothing(spark, tmp_path, monkeypatch):
+    from logweir.sources import files
+
+    at = times.parse_iso("2024-01-10T13:00:03.25Z")
+    logs = seeded(spark, 900, days=20).cache()
+    kept = logs.where(F.col("ts") >= times.at(at)).count()
+    table, counts, tokens = LogTable(spark, str(tmp_path / "logs")), rollup.RollupTable(spark, str(tmp_path / "rollup")), attrindex.TokenTable(spark, str(tmp_path / "tokens"), Settings(index_min_rows=5000))
+    table.append(logs)
+    counts.fold(table.read(), first_id=1)
+    tokens.index(table.read(), 901)
+    req = AggregateRequest(times.parse_iso("2024-01-01"), times.parse_iso("2024-02-01"), "1h", "level")
+    for name in ("replace", "trim", "delete"):
+        with monkeypatch.context() as m:
+
+            def dies(*_, **__):
+                raise OSError("killed")
+
+            m.setattr({"replace": counts, "trim": tokens, "delete": files}[name], name, dies)
+            with pytest.raises(OSError, match="killed"):
+                retention.enforce(table, at, counts, tokens)
+        assert table.read().count() == kept  # what is kept is there, whatever died
+    table.append(seeded(spark, 30, days=1, start="2024-01-11").withColumn("id", F.col("id") + 900))  # late rows into the week that is cut
+    assert retention.enforce(table, at, counts, tokens)["dropped"] == ["2024-01-01"]
+    assert retention.enforce(table, at - 10**12, counts, tokens) == {"cutoff": at, "dropped": [], "cut": "2024-01-08"}  # never back
+    rows = table.read()
+    assert rows.count() == kept + 30
+    assert answer(rows, req, **counts.source())[0] == answer(rows, req)[0]
+    assert tokens.read().count() == kept
+    counts.fold(rows)
+    assert answer(rows, req, **counts.source()) == (answer(rows, req)[0], "rollup")
+
+
+def test_engine_answers_through_lanes_and_keeps_figures(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), Settings(index_min_rows=1000), clock=lambda: times.parse_iso("2024-06-01"))
+    assert engine.page({}) == ([], None)
+    engine.write_batch(entry_rows(spark, 60), 0)
+    span = {"since": "2024-05-20", "until": "2024-05-21", "bucket": "1h", "group_by": "service"}
+    raw, path = engine.count(span)
+    assert path == "raw" and sum(b["count"] for b in raw) == 60
+    engine.maintain()
+    engine.cached.until = float("-inf")
+    assert engine.count(span) == (raw, "rollup")
+    assert engine.count(span | {"q": "m 1"})[1] == "raw"
+    assert [r["message"] for r in engine.page({"attr.i": "7"})[0]] == ["m 7"]
+    assert len(engine.page({"q": "m 5", "limit": "50"})[0]) == 11
+    stats = engine.stats()
+    assert stats["metrics"]["counts"] == {"ingest": 1, "count": 3, "page": 3} and stats["metrics"]["latency"]["count"]["count"] == 3
+    parts = stats["decomposition"]["count rollup"]
+    assert parts["traces"] == 1 and parts["ms"] >= parts["run_ms"] > 0 and abs(parts["ms"] - sum(v for k, v in parts.items() if k not in ("traces", "ms"))) < 1e-6
+    engine.cached.read, engine.cached.until = (lambda: 1 / 0), float("-inf")
+    assert engine.count(span) == (raw, "raw")  # the state can't be read: rows answer
+
+
+def test_indexer_defers_to_a_fold_and_takes_one_batch_when_busy(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), Settings(index_min_rows=7, index_max_rows=7))
+    engine.write_batch(entry_rows(spark, 30), 0)
+    engine.fold()
+    with engine.folding:
+        assert engine.index() == 0
+    assert engine.tokens.state()["deferred"] == 1
+    engine.gate.lanes["scan"].waiting.append(threading.Event())
+    assert engine.index() == 7
+    engine.gate.lanes["scan"].waiting.clear()
+    while engine.index():
+        pass
+    assert engine.tokens.state()["watermark_id"] == 31
+    number, state = engine.tokens.manifest.read()
+    late = attrindex.TokenTable(spark, engine.tokens.path, engine.settings)
+    late.manifest.read = lambda: (number - 1, state | {"watermark_id": 0})  # a writer that is behind
+    late.manifest.update = lambda change: change(state)
+    assert late.index(engine.logs.read(), 31) == -1
+
+
+def test_two_sources_open_only_the_weeks_of_the_hits(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "logs"))
+    logs = seeded(spark, 3000, days=28)
+    table.append(logs)
+    stored = table.read()
+    tokens = attrindex.indexed(stored, 0, 3001)
+    opened = []
+    where = type(stored).where
+
+    def spy(self, condition):
+        out = where(self, condition)
+        if "week_start" in self.columns:
+            opened.append(out)
+        return out
+
+    type(stored).where = spy
+    try:
+        req = page.PageRequest(attributes={"region": "north", "retries": "3"}, limit=10)
+        found = page.two_source_rows(stored, tokens, 3001, req)
+    finally:
+        type(stored).where = where
+    assert [r.id for r in found] == [r.id for r in page.page_keys(stored, req).collect()] and len(found) == 11
+    weeks = {r.w for r in opened[-1].select(F.col("week_start").alias("w")).distinct().collect()}
+    assert len(weeks) < len(table.weeks())
+    plan = opened[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(week_start" in plan and "GreaterThanOrEqual(ts" in plan
+
+
+def test_two_sources_go_on_when_tokens_collide(contract):
+    """Every row has the token of the wanted attribute, as if all hashes collided; the page is found none the less."""
+    real = attrindex.indexed(contract, 0, 10**6)
+    wanted = attrindex.indexed(contract.limit(1).withColumn("attributes", F.lit('{"count": 3}')), 0, 10**6).first().tokens
+    collided = real.withColumn("tokens", F.array(*map(F.lit, wanted)))
+    req = page.PageRequest(attributes={"count": "3"}, limit=2)
+    assert [r.id for r in page.two_source_rows(contract, collided, 10**6, req)] == [4]
+
+
 def test_index_controller_and_histogram():
     s = Settings()
     assert attrindex.next_batch_rows(1000, 10, s) == 1300 and attrindex.next_batch_rows(1000, 130, s) == 600
