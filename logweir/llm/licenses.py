@@ -1,15 +1,20 @@
 """License scans by ordered signature rules.
 
 Texts are brought to lower-cased words first (see text.words), each word between two spaces of
-its own, so that one rule's matches may stand side by side. A rule is held against a text only
-if the text has one of a few anchor words and the rule's own keyword. Every match is a
-detection, an interval with the rule's tier and label. A detection is suppressed if another of
-the same or a better tier contains it; of two with the same interval the rule that comes first
-stays. What is left gives the labels.
+its own, so that one rule's matches may stand side by side. Rules are identifiers, statements that
+something is under a license, passages of licenses and of the notices that they ask for, and names
+that only occur. From each rule's expression the pieces of text are derived that every match must
+hold; a text is held against rules only if it has such a piece of some rule, and against a rule
+only if it has the rule's longest piece, or its keyword. Every match is a detection, an interval with
+the rule's tier and label. A detection is suppressed if another of the same or a better tier
+contains it; of two with the same interval the rule that comes first stays. What is left gives the
+labels.
 """
 
 from __future__ import annotations
 
+import re._parser as sre
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +23,6 @@ from .text import GAP, UPPER, words
 # Phrases of the base, as (words before "license", label).
 BASE = ((("mit",), "mit"), (("apache",), "apache"), (("general", "public"), "gpl"))
 
-# Texts without one of these have no detection.
-ANCHORS = ("licen", "spdx", "creative  commons", "public  domain", " cc  ", "copyleft", " gpl", " agpl", " lgpl", "warranty")
-
 # Licenses as (label, keyword, expression for the name). A space stands between two words.
 NAMES = (
     ("mit", "mit", "(?:the )?mit(?: expat| x11)? licen[cs]e"),
@@ -32,19 +34,19 @@ NAMES = (
     ("gpl-1.0", "general", "(?:gnu )?general public licen[cs]e(?: v| version)? 1(?: 0)?"),
     ("gpl-2.0", "general", "(?:gnu )?general public licen[cs]e(?: v| version)? 2(?: 0)?"),
     ("gpl-3.0", "general", "(?:gnu )?general public licen[cs]e(?: v| version)? 3(?: 0)?"),
-    ("gpl-2.0", "gpl", "(?:gnu )?gpl(?: v| version)? ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", "(?:gnu )?gpl(?: v| version)? ?3(?: 0)?"),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl(?: ?v| version)? ?2(?: 0)?"),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl(?: ?v| version)? ?3(?: 0)?"),
     ("gpl", "general", "(?:gnu )?general public licen[cs]e"),
     ("gpl", "gpl", "gnu gpl"),
     ("lgpl-2.0", "library", "(?:gnu )?library general public licen[cs]e(?: v| version)? 2(?: 0)?"),
     ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: v| version)? 2 1"),
     ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: v| version)? 3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?2 1"),
-    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: ?v| version)? ?2 1"),
+    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl(?: ?v| version)? ?3(?: 0)?"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"),
     ("agpl-1.0", "affero", "affero general public licen[cs]e(?: v| version)? 1(?: 0)?"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public licen[cs]e(?: v| version)? 3(?: 0)?"),
-    ("agpl-3.0", "agpl", "(?:gnu )?agpl(?: v| version)? ?3(?: 0)?"),
+    ("agpl-3.0", "agpl", "(?:gnu )?agpl(?: ?v| version)? ?3(?: 0)?"),
     ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"),
     ("gfdl-1.2", "documentation", "(?:gnu )?free documentation licen[cs]e(?: v| version)? 1 2"),
     ("gfdl-1.3", "documentation", "(?:gnu )?free documentation licen[cs]e(?: v| version)? 1 3"),
@@ -100,6 +102,55 @@ NAMES = (
     ("public-domain", "domain", "(?:in|into|to) the public domain"),
     ("all-rights-reserved", "rights", "all rights reserved"),
 )
+# Short names that count only after a statement such as "licensed under", as (label, keyword, expression).
+SHORT = (
+    ("mit", "mit", "mit"),
+    ("apache-2.0", "apache", "apache 2(?: 0)?"),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd)"),
+    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd)"),
+    ("bsd", "bsd", "bsd"),
+    ("isc", "isc", "isc"),
+    ("zlib", "zlib", "zlib"),
+    ("mpl-2.0", "mpl", "mpl(?: v| version)? ?2(?: 0)?"),
+    ("epl-2.0", "epl", "epl(?: v| version)? ?2(?: 0)?"),
+    ("eupl-1.2", "eupl", "eupl(?: v| version)? ?1 2"),
+    ("gpl", "gpl", "gpl"),
+    ("lgpl", "lgpl", "lgpl"),
+    ("agpl", "agpl", "agpl"),
+)
+# Passages of licenses and notices, as (label, keyword, expression).
+PASSAGES = (
+    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "copyright", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "granted", "permission is hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd-3-clause", "endorse", "neither the name of [a-z0-9 ]{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0bsd", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "distributed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl-2.0", "subject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "subject", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? 2 0"),
+    ("cddl-1.0", "subject", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc0-1.0", "waived", "has waived all copyright and related or neighboring rights to"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("artistic-2.0", "artistic", "you may redistribute it and or modify it under the terms of the artistic license 2 0"),
+    ("postgresql", "documentation", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "prohibited", "unauthorized (?:copying|use|reproduction)(?: or distribution)? of this (?:file|software|document) via any medium is strictly prohibited"),
+)
 # Parts of Creative Commons names, as (label, words).
 COMMONS = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv[a-z]+"), ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv[a-z]+"))
 VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
@@ -108,30 +159,54 @@ Rule = tuple[int, str, str, str]  # tier, label, keyword, expression
 
 
 def rules() -> tuple[Rule, ...]:
-    """Tier 1: identifiers; 2: statements that something is under a license; 3: names that only occur."""
+    """Tier 1: identifiers; 2: statements that something is under a license, and passages; 3: names that only occur."""
     names = list(NAMES)
     for part, long in COMMONS:
         short = part.replace("-", " ")
         for v in VERSIONS:
-            names.append((f"cc-{part}-{v.replace(' ', '.')}", " cc  ", f"cc {short} {v}"))
+            names.append((f"cc-{part}-{v.replace(' ', '.')}", " cc ", f"cc {short} {v}"))
             names.append((f"cc-{part}-{v.replace(' ', '.')}", "commons", f"creative commons {long}(?: licen[cs]e)?(?: version)? {v}(?: international| unported| generic)?"))
-        names.append((f"cc-{part}", " cc  ", f"cc {short}"))
+        names.append((f"cc-{part}", " cc ", f"cc {short}"))
         names.append((f"cc-{part}", "commons", f"creative commons {long}(?: licen[cs]e)?"))
     labels = sorted({x[0] for x in names})
     found: list[Rule] = [(1, x, "spdx", f"spdx licen[cs]e identifier {x.replace('-', ' ').replace('.', ' ')}(?: only| or later)?") for x in labels]
     under = "(?:licen[cs]ed|released|distributed|available|published|provided|redistribute it)(?: and or modify it)? (?:under|with)(?: the)?(?: terms of)?(?: the)?(?: following)?"
-    found += [(2, x, key, f"{under} {name}(?: only| or later| or any later version)?") for x, key, name in names]
+    found += [(2, x, key, e) for x, key, e in PASSAGES]
+    found += [(2, x, key, f"{under} {name}(?: only| or later| or any later version)?") for x, key, name in (*names, *SHORT)]
     found += [(3, x, key, name) for x, key, name in names]
     return tuple((t, x, key, " " + e.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " ") for t, x, key, e in found)
 
 
+def pieces(expression: str) -> list[str]:
+    """The pieces of text that every match of the expression holds, in their order."""
+    runs, now = [], ""
+    for op, x in sre.parse(expression):
+        if op == sre.LITERAL:
+            now += chr(x)
+        else:
+            runs.append(now)
+            now = ""
+    return [r for r in (*runs, now) if r.strip()]
+
+
+def piece(key: str, expression: str) -> str:
+    """The longest piece of a rule, or its keyword if that is longer."""
+    return max([key, *pieces(expression)], key=lambda p: len(p.strip()))
+
+
+def gates(found: tuple[Rule, ...]) -> list[str]:
+    """Pieces of text of which every text has one that any rule matches: the stem of "license" for rules that hold it, else the rule's own; none that contains another."""
+    every = {"licen" if any("licen" in p for p in pieces(e)) else piece(k, e) for _, _, k, e in found}
+    return [p for p in sorted(every) if not any(k != p and k in p for k in every)]
+
+
 #: Confidence by tier.
 SCORES = (1.0, 0.9, 0.6)
 _KEPT = "struct<start:int,below:int,number:int,tier:int,label:string>"
 
 
 def _table(found: tuple[Rule, ...]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("number"), F.lit(t).alias("tier"), F.lit(x).alias("label"), F.lit(k).alias("key"), F.lit(e).alias("rx")) for i, (t, x, k, e) in enumerate(found)])
+    return F.array(*[F.struct(F.lit(i).alias("number"), F.lit(t).alias("tier"), F.lit(x).alias("label"), F.lit(k).alias("key"), F.lit(piece(k, e)).alias("piece"), F.lit(e).alias("rx")) for i, (t, x, k, e) in enumerate(found)])
 
 
 def _matches(s: Column, rule: Column) -> Column:
@@ -175,8 +250,8 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"), words(F.col(f"`{text}`")).alias("ws"))
     gate = rows.select("row", F.size("ws").cast("long").alias("n_words"), F.when(F.exists("ws", lambda w: w == "license"), F.col("ws")).alias("ws"), F.concat(F.lit(" "), F.array_join("ws", "  "), F.lit(" ")).alias("s"))
     some = F.lit(False)
-    for a in ANCHORS:
-        some = some | F.contains("s", F.lit(a))
+    for g in gates(rules()):
+        some = some | F.contains("s", F.lit(g))
     gate = gate.select("row", "n_words", "ws", F.when(some, F.col("s")).alias("s"))
     at = F.array_compact(F.transform("ws", lambda w, i: F.when(w == "license", i)))
     before = lambda i, n: F.get("ws", i - n)
@@ -191,7 +266,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
         return found
 
     places = F.coalesce(F.array_compact(F.transform(at, place)), F.array().cast("array<struct<start:bigint,label:string>>"))
-    found = F.flatten(F.transform(F.filter(_table(rules()), lambda r: F.contains("s", r["key"])), lambda r: _matches(F.col("s"), r)))
+    found = F.flatten(F.transform(F.filter(_table(rules()), lambda r: F.contains("s", r["piece"])), lambda r: _matches(F.col("s"), r)))
     step = gate.select("row", "n_words", places.alias("places"), F.when(F.col("s").isNotNull(), _kept(F.array_sort(found))).alias("kept"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))
     labels = F.array_sort(F.array_union(base, F.coalesce("kept.labels", F.array().cast("array<string>"))))
@@ -209,6 +284,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """One row per document, as scan() has it; null ids and rows that are alike all stay, an empty table gives an empty one."""
     return scan(docs.select("doc_id", "text")).drop("text")
 
 
@@ -218,14 +294,13 @@ def oracle() -> str:
     values = ", ".join(f"({i}, {t}, {quote(x)}, {quote(k)}, {quote(e)})" for i, (t, x, k, e) in enumerate(rules()))
     ws = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{GAP}'), lambda x: x <> '')"
     phrases = " UNION ALL ".join(f"SELECT rid, i - {len(p) + 1} AS start, '{x}' AS label FROM lic WHERE " + " AND ".join(f"i > {n} AND ws[i - {n}] = '{w}'" for n, w in enumerate(reversed(p), 1)) for p, x in BASE)
-    anchors = " OR ".join(f"contains(s, '{a}')" for a in ANCHORS)
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {ws} AS ws FROM documents),
 lic AS (SELECT rid, ws, i FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE list_contains(ws, 'license')) WHERE ws[i] = 'license'),
 base AS ({phrases}),
 b AS (SELECT rid, count(*) AS n, min(start) AS lo, max(start) AS hi, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY rid),
 rules(number, tier, label, key, rx) AS (VALUES {values}),
-g AS MATERIALIZED (SELECT rid, s FROM (SELECT rid, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM d) WHERE {anchors}),
+g AS MATERIALIZED (SELECT rid, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM d),
 m AS MATERIALIZED (SELECT rid, number, tier, label, regexp_extract_all(s, rx) AS m, regexp_split_to_array(s, rx) AS p FROM g JOIN rules ON contains(s, key)),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
 x AS MATERIALIZED (SELECT rid, number, tier, label, list_sum(list_transform(p[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS a, length(m[i]) AS n FROM e),

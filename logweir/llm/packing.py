@@ -4,11 +4,12 @@ A document longer than a sequence fills whole sequences of its own first; what r
 last piece. Within a shard the pieces are taken by falling length. Bins are ordered by their
 residual; each carries a bitmap of the sources and one of the duplicate clusters that it holds.
 For a piece, the search begins at the bins whose residual is just enough and goes on to larger
-ones until it finds the tightest bin that holds neither the piece's cluster nor, as often as
-is allowed, its source; if there is none, a new bin is opened.
+ones until it finds the tightest bin that holds neither the piece's cluster nor its source; if
+there is none, a new bin is opened.
 
-Shards are dealt by a hash of the row and are of bounded size, so that no key, source or cluster
-gathers in one task; only ids and lengths are shuffled.
+Shards are dealt by a hash of the piece. Their number follows from the pieces that there can be at
+most, so that no key, source, cluster or long document gathers in one task; only ids and lengths
+are shuffled.
 """
 
 from __future__ import annotations
@@ -81,15 +82,17 @@ def packed(docs: DataFrame, *, doc_id: str = "doc_id", length: Column | None = N
 
     length defaults to the number of words, cluster to the hash of the words in their order, so
     that copies don't share a bin. Null and empty texts have no tokens and one piece of none, in
-    no bin (bin, offset and bin_id are null). Rows that are alike are packed apart, being one
-    cluster. An empty table gives an empty one.
+    no bin (bin, offset and bin_id are null); so has a null length. Rows that are alike are packed
+    apart, being one cluster. A null source conflicts with nothing, a null id is an id like others.
+    Other columns, whatever their names, are not looked at. An empty table gives an empty one.
     """
     ws = words(F.col(f"`{text}`"))
-    length = F.size(ws) if length is None else length
+    own_length = length is not None
+    length = length if own_length else F.size(ws)
     cluster = F.md5(F.array_join(ws, " ")) if cluster is None else cluster
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
-        length.cast("long").alias("length"),
+        F.greatest(F.coalesce(length.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")).alias("length"),
         (F.col(f"`{source}`") if source else F.lit(None)).cast("string").alias("source"),
         cluster.cast("string").alias("cluster"),
     )
@@ -97,7 +100,10 @@ def packed(docs: DataFrame, *, doc_id: str = "doc_id", length: Column | None = N
     rows = rows.select("*", pieces.alias("n_pieces"), F.posexplode(F.sequence(F.lit(0), pieces - 1)).alias("piece", "_"))
     rows = rows.withColumn("first_token", F.col("piece") * F.lit(capacity).cast("long"))
     rows = rows.withColumn("n_tokens", F.least(F.col("length") - F.col("first_token"), F.lit(capacity).cast("long")).cast("int")).drop("_", "length")
-    shards = max(1, -(-docs.count() // shard_rows))
+    # a text of n bytes has (n + 1) / 2 words at most, so that no text need be split to bound the pieces
+    most = F.ceil(length / capacity) if own_length else F.floor((F.octet_length(F.col(f"`{text}`")) + 1) / (2 * capacity))
+    n = docs.agg(F.coalesce(F.sum(F.coalesce(most, F.lit(0)) + 1), F.lit(1))).first()[0]
+    shards = max(1, -(-int(n) // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "piece"), F.lit(shards)).cast("int"))
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -7,12 +7,18 @@ replace one that an earlier start has set; a character that is no piece of its o
 costs 10 more than the worst piece, and counts as its UTF-8 bytes. Spaces are U+2581, and a text
 that isn't empty begins with one.
 
+A SentencePiece file of the unigram kind brings its scores. One of pairs that were merged (BPE) only
+has the order of its merges; its pieces then are a unigram vocabulary by the law of Zipf and
+Mandelbrot, a piece at place r scoring -log(r + ZIPF). Counts by it are those of a unigram tokenizer
+with these pieces and scores, and near those of the merges, but not the same.
+
 If no piece goes on from another character to U+2581, a best path is made of best paths of the
 runs between, so that each distinct run is searched once and remembered.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from dataclasses import dataclass
@@ -22,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary that the query counts by; any SentencePiece model file will do.
+#: The vocabulary that the query counts by: a SentencePiece model file, of unigrams or of merged pairs.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+ZIPF = 100
+#: Such scores are multiples of 1 / GRAIN, so that sums of them are exact in any order.
+GRAIN = 1 << 20
 #: Runs that a worker remembers at most; it forgets them all and begins anew.
 REMEMBERED = 500_000
 
@@ -72,8 +81,8 @@ def _fields(data: bytes):
 
 
 def load(path: str = MODEL_FILE) -> Vocabulary:
-    """The normal pieces of a SentencePiece model file, with their scores. The driver reads it."""
-    pieces = []
+    """The normal pieces of a SentencePiece model file, with their scores, or those that follow from their places if these are merges. The driver reads it."""
+    pieces, merges = [], False
     with open(path, "rb") as f:
         data = f.read()
     for number, value in _fields(data):
@@ -81,7 +90,9 @@ def load(path: str = MODEL_FILE) -> Vocabulary:
             piece = dict(_fields(value))
             if piece.get(3, 1) == 1:
                 pieces.append((piece[1].decode(), struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0))
-    return Vocabulary(tuple(pieces))
+        elif number == 2:
+            merges = dict(_fields(value)).get(3, 1) == 2
+    return Vocabulary(tuple((p, -round(math.log(r + ZIPF) * GRAIN) / GRAIN) for r, (p, _) in enumerate(pieces)) if merges else tuple(pieces))
 
 
 class Counter:
@@ -160,5 +171,9 @@ def counted(text: Column, vocabulary: Vocabulary) -> Column:
 
 
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model_file: str = MODEL_FILE) -> DataFrame:
-    """(doc_id, n_tokens, score) of each row, over the whole text. Rows that are alike all stay."""
+    """(doc_id, n_tokens, score) of each row, over the whole text.
+
+    Null and empty texts have no tokens and score 0. Rows that are alike all stay; null ids stay
+    null; other columns, whatever their names, are not looked at; an empty table gives an empty one.
+    """
     return docs.select(F.col(f"`{doc_id}`"), counted(F.col(f"`{text}`"), load(model_file)).alias("c")).select(doc_id, "c.n_tokens", "c.score")

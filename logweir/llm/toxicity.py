@@ -35,6 +35,10 @@ GOLD_ROWS, PLAIN_ROWS = 4000, 8000
 TERMS, LEXICON = 512, 40
 #: A term of a lexicon is in toxic texts at least this much of the time, both classes weighing the same.
 SURE = 0.8
+#: So many texts that aren't toxic, none of which holds a fixed word, are taken for granted.
+SEED_TEXTS = 200
+#: What a fixed word in a hundred weighs before anything is learnt.
+SEED_WEIGHT = 6.0
 THRESHOLD = 0.7
 BUCKETS = 1 << 20
 KINDS = (0, 4, 5, 6, 7, 8)  # whole words, and beginnings of so many bytes
@@ -195,12 +199,12 @@ def label_model(votes: np.ndarray, prior: float, right: np.ndarray, texts: np.nd
     """Posterior of class 1 by votes in {1, -1, 0: silent}; (posterior, shares of right votes as (2, voters), weights).
 
     right: first guesses of the shares of right votes on class 0 and 1, which go on counting as so
-    many texts of the class. Every two rounds the correlation of voters within the classes is
+    many texts of the class, as does the prior. Every two rounds the correlation of voters within the classes is
     estimated anew, and a voter's evidence is divided by one plus the sum of its positive
     correlations with the others.
     """
     speaks, yes = votes != 0, votes == 1
-    first, right = right, right.copy()
+    first, right, before = right, right.copy(), prior
     texts = np.broadcast_to(texts, 2)
     weight = np.ones(votes.shape[1])
     post = np.full(len(votes), prior)
@@ -208,7 +212,7 @@ def label_model(votes: np.ndarray, prior: float, right: np.ndarray, texts: np.nd
         for_one = np.where(yes, np.log(right[1]), np.log1p(-right[1])) - np.where(yes, np.log1p(-right[0]), np.log(right[0]))
         logit = np.log(prior / (1 - prior)) + (np.where(speaks, for_one, 0.0) * weight).sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        prior = float(np.clip(post.mean(), 1e-3, 0.6)) if len(post) else prior
+        prior = float(np.clip((post.sum() + before * texts.sum()) / (len(post) + texts.sum()), 1e-3, 0.6))
         for c, p in ((0, 1 - post), (1, post)):
             total = p @ speaks
             good = p @ (speaks & (yes == bool(c)))
@@ -225,10 +229,11 @@ def label_model(votes: np.ndarray, prior: float, right: np.ndarray, texts: np.nd
     return post, right, weight
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Newton's method. Rows are taken in blocks, in double precision."""
+def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds: int = 25, centre: np.ndarray | float = 0.0) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton's method, weights being drawn to the centre. Rows are taken in blocks, in double precision."""
     n = x.shape[1] + 1
-    w = np.zeros(n)
+    middle = np.append(np.broadcast_to(centre, n - 1), 0.0)
+    w = middle.copy()
     cost = np.full(n, penalty)
     cost[-1] = 1e-6
 
@@ -237,11 +242,11 @@ def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds:
             yield np.concatenate([x[i : i + 1024], np.ones((len(x[i : i + 1024]), 1))], axis=1, dtype=np.float64), target[i : i + 1024]
 
     def loss(w: np.ndarray) -> float:
-        return float(sum((np.logaddexp(0, z) - t * z).sum() for z, t in ((b @ w, t) for b, t in blocks())) + 0.5 * (cost * w * w).sum())
+        return float(sum((np.logaddexp(0, z) - t * z).sum() for z, t in ((b @ w, t) for b, t in blocks())) + 0.5 * (cost * (w - middle) ** 2).sum())
 
     now = loss(w)
     for _ in range(rounds):
-        second, slope = np.diag(cost), cost * w
+        second, slope = np.diag(cost), cost * (w - middle)
         for b, t in blocks():
             p = 1 / (1 + np.exp(-np.clip(b @ w, -30, 30)))
             second = second + (b * (p * (1 - p) + 1e-6)[:, None]).T @ b
@@ -257,8 +262,12 @@ def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds:
     return w[:-1], float(w[-1])
 
 
-def voter_guesses(dense: np.ndarray, shouts: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(votes of all rows in {1, -1}, shares of right votes on gold as (2, voters)). Where a lexicon's density begins to speak is chosen on gold (1, 0; nan: none)."""
+def voter_guesses(dense: np.ndarray, shouts: np.ndarray, gold: np.ndarray, sure: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(votes of all rows in {1, -1}, shares of right votes on gold as (2, voters)).
+
+    Where a lexicon's density begins to speak is chosen on gold (1, 0; nan: none). The first few
+    lexicons are fixed words that hardly occur in other texts, which counts as much as SEED_TEXTS of these.
+    """
     n = dense.shape[1]
     votes = np.zeros((len(dense), n + shouts.shape[1]), np.int8)
     for g in range(n):
@@ -269,7 +278,10 @@ def voter_guesses(dense: np.ndarray, shouts: np.ndarray, gold: np.ndarray) -> tu
         votes[:, g] = np.where(d >= cuts[int(np.argmax(rate))], 1, -1)
     votes[:, n:] = np.where(shouts, 1, -1)
     right = np.stack([(votes[gold == c] == s).sum(axis=0) for c, s in ((0, -1), (1, 1))]) + 1.0
-    return votes, np.clip(right / (np.array([[(gold == 0).sum()], [(gold == 1).sum()]]) + 2), 0.02, 0.98)
+    total = np.array([[(gold == 0).sum()], [(gold == 1).sum()]]) + np.full(right.shape, 2.0)
+    right[0, :sure] += SEED_TEXTS
+    total[0, :sure] += SEED_TEXTS
+    return votes, np.clip(right / total, 0.02, 0.995)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, gold_rows: int, plain_rows: int) -> DataFrame:
@@ -307,14 +319,14 @@ def _fitted(sample: DataFrame) -> Model:
     n1, n0 = sample.agg(F.count_if(hard == 1), F.count_if(hard == 0)).first()
     if not n1 or not n0:
         chosen = np.unique(np.concatenate(_seeds()))
-        return Model(chosen, np.full(len(chosen), 6.0, np.float32), -4.0)
+        return Model(chosen, np.full(len(chosen), SEED_WEIGHT, np.float32), -4.0)
     sums = term_sums(sample.where("gold is not null").select("text", hard.alias("toxic")))
     groups, names = _lexicons(_differing(sums, n1, n0), n1, n0)
     table = _voted(sample, groups)
     gold = table["gold"].to_numpy().astype(float)
     gold = np.where(np.isnan(gold), np.nan, gold >= 0.5)
     dense = np.array(table["dense"].to_pylist(), float)
-    votes, guess = voter_guesses(dense, np.array(table["shouts"].to_pylist(), bool), gold)
+    votes, guess = voter_guesses(dense, np.array(table["shouts"].to_pylist(), bool), gold, len(SEEDS))
     post, right, weight = label_model(votes, n1 / (n1 + n0), guess, np.array([n0, n1], float))
     # the posteriors choose the classifier's terms
     ids = sample.sparkSession.createDataFrame(pa.table({"id": table["id"], "toxic": pa.array(post)}))
@@ -322,7 +334,7 @@ def _fitted(sample: DataFrame) -> Model:
     best = _differing(sums, float(post.sum()), float((1 - post).sum())).where(F.abs("z") > 1.2).orderBy(F.desc(F.abs("z")), "bucket").limit(TERMS).select("bucket").collect()
     terms = np.unique(np.concatenate([np.array([r.bucket for r in best], np.int64), *_seeds()]))
     x = _matrix(sample, terms)
-    weights, bias = fit_linear(x, post)
+    weights, bias = fit_linear(x, post, centre=np.where(np.isin(terms, np.concatenate(_seeds())), SEED_WEIGHT, 0.0))
     report = tuple(zip([*names, *PATTERNS], right[1].round(4).tolist(), right[0].round(4).tolist(), weight.round(4).tolist(), strict=True))
     return Model(terms, weights.astype(np.float32), bias, report)
 

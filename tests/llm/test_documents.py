@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import os
 import random
 import re
@@ -71,6 +72,27 @@ def test_counts_equal_slow_search_and_a_unigram_library(vocabulary):
         assert n == len(library.encode(tokens.SPACE + text.replace(" ", tokens.SPACE)).ids)
 
 
+def test_scores_of_merges_follow_their_places(vocabulary):
+    scores = [s for _, s in vocabulary.pieces]
+    assert abs(scores[0] + math.log(tokens.ZIPF)) < 1e-6 and scores == sorted(scores, reverse=True) and len(scores) > 30_000
+
+
+def test_counts_are_near_those_of_the_merges(vocabulary):
+    import duckdb
+    import sentencepiece
+
+    merges = sentencepiece.SentencePieceProcessor(model_file=tokens.MODEL_FILE)
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SMALL}/documents.parquet'").fetchall()]
+    counter = tokens.Counter(vocabulary)
+    own, other = np.array([counter.count(t)[0] for t in texts]), np.array([len(merges.encode(t)) for t in texts])
+    assert abs(own.sum() / other.sum() - 1) < 0.02 and np.median(np.abs(own - other) / np.maximum(other, 1)) < 0.02
+
+
+def test_token_counts_ignore_other_columns(spark, vocabulary):
+    df = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, n_tokens int, c string")
+    assert [tuple(r) for r in tokens.token_counts(df).collect()] == [(1, *tokens.Counter(vocabulary).count("a b"))]
+
+
 @given(st.lists(st.tuples(st.text("ab▁c", min_size=1, max_size=3), st.integers(-5, 0).map(float)), min_size=1, max_size=8, unique_by=lambda x: x[0]), st.text("ab cd", max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_ties_and_pieces_across_spaces(pieces, text):
@@ -360,6 +382,14 @@ def test_packing_round_trip(spark):
     check_packed(rows, {d: len(plain_words(r.text)) for d, r in texts.items()}, {d: r.source for d, r in texts.items()}, 512)
 
 
+def test_shards_are_bounded_by_pieces(spark):
+    docs = spark.createDataFrame([(i, "word " * 60_000, f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    for options in ({}, {"length": F.size(F.split(F.trim("text"), " "))}):
+        rows = packing.packed(docs, capacity=100, shard_rows=500, **options).collect()
+        per = collections.Counter(r.shard for r in rows)
+        assert len(rows) == 7200 and max(per.values()) < 800
+
+
 def test_packing_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "s", 5), (2, "", "s", 5), (3, "a b c", None, 5), (3, "a b c", None, 5), (None, "A b, c", None, 5), (5, "x " * 5000, "s", 5)], "doc_id long, text string, source string, bin int")
     rows = packing.packed(docs, capacity=1000).collect()

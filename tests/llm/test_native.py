@@ -98,3 +98,61 @@ def test_license_containment_and_priority(spark):
     docs = spark.createDataFrame([(1, "SPDX-License-Identifier: Apache-2.0"), (2, "Licensed under the GNU Lesser General Public License, version 2.1"), (3, "see the BSD license; also licensed under CC BY-NC-SA 4.0")], "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).select("doc_id", "labels", F.col("score")).collect()}
     assert got == {1: ("apache-2.0", 1.0), 2: ("gpl,lgpl-2.1", 0.9), 3: ("bsd,cc-by-nc-sa-4.0", 0.9)}
+
+
+def example(expression):
+    """A text that the expression matches: the first way of each choice, and nothing that may be left out."""
+    out = ""
+    for op, x in licenses.sre.parse(expression) if isinstance(expression, str) else expression:
+        if op == licenses.sre.LITERAL:
+            out += chr(x)
+        elif op == licenses.sre.IN:
+            out += chr(x[0][1] if x[0][0] == licenses.sre.LITERAL else x[0][1][0])
+        elif op == licenses.sre.SUBPATTERN:
+            out += example(x[-1])
+        elif op == licenses.sre.BRANCH:
+            out += example(x[1][0])
+        elif op in (licenses.sre.MAX_REPEAT, licenses.sre.MIN_REPEAT):
+            out += example(x[2]) * max(x[0], 0)
+    return out
+
+
+def test_every_rule_fires_on_its_own_example(spark):
+    rules = licenses.rules()
+    texts = [example(e).replace("  ", " ").strip() for _, _, _, e in rules]
+    assert len(rules) > 400 and all(re.search(e, " " + "  ".join(t.split()) + " ") for (_, _, _, e), t in zip(rules, texts, strict=True))
+    docs = spark.createDataFrame([(i, f"A file. {t.capitalize()}, as it is.") for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan(docs).select("doc_id", "labels", "score").collect()}
+    for i, (tier, label, _, _) in enumerate(rules):
+        labels, score = got[i]
+        same = {x for t, x, _, e in rules if t <= tier and re.search(e, " " + "  ".join(texts[i].split()) + " ")}
+        assert label in labels or labels & same, texts[i]
+        assert score >= licenses.SCORES[tier - 1]
+    assert sum(label in got[i][0] for i, (_, label, _, _) in enumerate(rules)) > 0.95 * len(rules)
+
+
+def test_names_and_passages_without_the_word_license(spark):
+    want = {
+        "All rights reserved.": "all-rights-reserved",
+        "Released under the WTFPL": "wtfpl",
+        "published under CC0 1.0 Universal": "cc0-1.0",
+        "CreativeML OpenRAIL-M": "openrail",
+        "NASA Open Source Agreement": "nasa-1.3",
+        "MIT No Attribution": "mit-0",
+        "GNU GPLv3": "gpl-3.0",
+        "Licensed under MIT.": "mit",
+        "Zero-Clause BSD": "0bsd",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the ": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+        "This is a permit for the committee. Rights and duties; the domain is public, the common attribution is free.": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(want.values())
+
+
+def test_gates_admit_all_matches():
+    rules = licenses.rules()
+    for tier, label, key, e in rules:
+        assert key in " " + "  ".join(example(e).split()) + " ", (label, e)
+        assert licenses.piece(key, e) in example(e)
+        assert any(g in example(e) for g in licenses.gates(rules))

@@ -181,6 +181,65 @@ def test_trees_learn_lexical_signs():
     assert urls.train(["http://a.b/"] * 3, [1] * 3).scores(["x"])[0] > 0.8
 
 
+def slow_tree(x, grad, hess):
+    """The best tree by trying every cut of every feature on every node."""
+    cuts = urls.cuts_of(x)
+
+    def grow(rows, depth):
+        g, h = sum(grad[r] for r in rows), sum(hess[r] for r in rows)
+        best = (1e-6, None, None)
+        if depth < urls.DEPTH and len(rows) >= 2 * urls.LEAST_ROWS:
+            for f, points in enumerate(cuts):
+                for c in points:
+                    low = [r for r in rows if x[r, f] <= c]
+                    if urls.LEAST_ROWS <= len(low) <= len(rows) - urls.LEAST_ROWS:
+                        gl, hl = sum(grad[r] for r in low), sum(hess[r] for r in low)
+                        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, f, c)
+        if best[1] is None:
+            return dict.fromkeys(rows, -urls.RATE * g / (h + 1))
+        low = [r for r in rows if x[r, best[1]] <= best[2]]
+        return grow(low, depth + 1) | grow([r for r in rows if x[r, best[1]] > best[2]], depth + 1)
+
+    return grow(list(range(len(x))), 0)
+
+
+def test_trees_equal_slow_ones():
+    rng = np.random.default_rng(5)
+    for rows in (8, 40, 150):
+        x = np.stack([rng.normal(size=rows), rng.integers(0, 4, rows), np.ones(rows), rng.exponential(size=rows)], axis=1)
+        y = (x[:, 0] + x[:, 1] + rng.normal(size=rows) > 1.5).astype(float)
+        cuts = urls.cuts_of(x)
+        bins = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T, strict=True)], axis=1)
+        grad, hess = 0.5 - y, np.full(rows, 0.25)
+        want = slow_tree(x, grad, hess)
+        assert np.allclose(urls._of_tree(urls.best_tree(bins, cuts, grad, hess), x), [want[r] for r in range(rows)])
+
+
+def test_labels_that_say_nothing_give_the_prior():
+    rng = random.Random(6)
+    names = ["https://" + "".join(rng.choices("abcdefgh", k=8)) + f".{rng.choice(['org', 'de'])}/{rng.randrange(10**5)}" for _ in range(400)]
+    model = urls.train(names, [rng.randrange(2) for _ in names])
+    assert np.abs(model.scores(["https://other.site/1", "http://a.b.c/d?e=f"]) - 0.5).max() < 0.1
+    assert model.held_out[1] <= 3
+
+
+def test_undecided_urls_get_both_verdicts(spark):
+    found = urls.digest(spark.read.parquet(f"{MEDIUM}/pages.parquet")).where("rule is null").collect()
+    by = collections.Counter(r.verdict for r in found)
+    assert min(by["allow"], by["block"]) > 0.1 * len(found)
+    seeds = [(u, k) for k, own in enumerate(urls.SEEDS) for u in own]
+    accuracy, trees = urls.train(*map(list, zip(*seeds, strict=True))).held_out
+    assert accuracy >= 0.8 and trees > 0
+
+
+def test_very_long_urls(spark):
+    long = "http://a.org/" + "x/" * 200_000 + "?" + "p=1&" * 50_000
+    r = urls.digest(spark.createDataFrame([(1, long), (1, long)], "page_id long, url string")).collect()
+    assert len(r) == 2 and r[0].host == "a.org" and len(r[0].path) == 400_001 and r[0].verdict in ("allow", "block")
+
+
 # --- vectors
 
 
@@ -205,7 +264,7 @@ def found(df):
 def test_factor_one_is_exact_and_production_recalls(spark):
     df = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
     want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()])
-    exact = found(vptree.digest(df, factor=1.0, shard_rows=200, block_rows=10))
+    exact = found(vptree.digest(df, factor=1.0, shard_rows=60, cells=5))
     assert {q: [i for i, _ in v] for q, v in exact.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(exact[q], want[q], strict=True))
     near = found(vptree.digest(df))
@@ -230,13 +289,47 @@ def test_odd_vectors(spark):
     rows += [(i, [1.0, 2.0, 0.5, 0.25]) for i in range(100, 190)]  # one vector many times
     rows += [(200, None), (201, [0.0] * 4), (202, [float("nan"), 1.0, 1.0, 1.0]), (203, [float("inf")] * 4), (204, [None, 1.0, 2.0, 3.0]), (220, [1.0, 2.0]), (240, []), (None, [1.0] * 4), (221, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for options in ({}, {"shard_rows": 20, "block_rows": 2}):
+    for options in ({}, {"shard_rows": 20}, {"shard_rows": 20, "cells": 2}):
         got = found(vptree.digest(df, factor=1.0, **options))
         want = brute_nearest(rows)
         assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items() if v}
     assert vptree.digest(df.limit(0)).count() == 0
 
 
+def test_ties_go_to_smaller_ids(spark, monkeypatch):
+    """Vectors on axes of their own: all scores are 0, or 1 for one another's copies."""
+    rows = [(i, [1.0 if j == i % 300 else 0.0 for j in range(300)]) for i in range(330)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"x": F.lit("x"), "size": F.lit(1), "cell": F.lit(2), "ids": F.lit(3), "bound": F.lit(0.5), "query": F.lit("q")})
+    want = {q: [i for i, _ in v] for q, v in brute_nearest(rows).items()}
+    monkeypatch.setattr(vptree, "BATCH_ROWS", 3)
+    for options in ({}, {"shard_rows": 50}, {"shard_rows": 50, "cells": 2}):
+        assert {q: [i for i, _ in v] for q, v in found(vptree.digest(df, factor=1.0, **options)).items()} == want
+
+
+def test_a_common_vector_is_one_point(spark):
+    rng = np.random.default_rng(2)
+    common = rng.normal(size=6).astype(np.float32).tolist()
+    rows = [(i, common if i % 3 == 0 else rng.normal(size=6).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    want = {q: [i for i, _ in v] for q, v in brute_nearest(rows).items()}
+    assert {q: [i for i, _ in v] for q, v in found(vptree.digest(df, factor=1.0, shard_rows=100)).items()} == want
+
+
+def test_cells_admit_whatever_is_nearer():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5)) * np.exp(rng.normal(size=(400, 1)))
+    c = vptree.Cells(x[:12], float((x**2).sum(axis=1).max()) * (1 + 1e-9))
+    cell, apart = c.nearest(x)
+    for i in range(12):
+        own = cell == i
+        c.count[i], c.low[i], c.high[i], c.least[i] = own.sum(), apart[own].min(initial=np.inf), apart[own].max(initial=0), np.sqrt((x[own] ** 2).sum(axis=1)).min(initial=np.inf)
+    q = rng.normal(size=(50, 5))
+    most, scores = c.admitted(q, 1.0), q @ x.T
+    for i in range(12):
+        if c.count[i]:
+            assert (most[:, i] >= scores[:, cell == i].max(axis=1) - 1e-9).all()
+
+
 def test_tree_prunes_and_factor_relaxes():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 8)) * 5
