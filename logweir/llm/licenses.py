@@ -5,7 +5,7 @@ its own, so that one rule's matches may stand side by side. Rules are identifier
 something is under a license, passages of licenses and of the notices that they ask for, and names
 that only occur. From each rule's expression the pieces of text are derived that every match must
 hold; a text is held against rules only if it has such a piece of some rule, and against a rule
-only if it has the rule's longest piece, or its keyword. Every match is a detection, an interval with
+only if it has the rule's longest piece and its keyword. Every match is a detection, an interval with
 the rule's tier and label. A detection is suppressed if another of the same or a better tier
 contains it; of two with the same interval the rule that comes first stays. What is left gives the
 labels.
@@ -13,6 +13,7 @@ labels.
 
 from __future__ import annotations
 
+import json
 import re._parser as sre
 
 from pyspark.sql import Column, DataFrame
@@ -172,7 +173,8 @@ def rules() -> tuple[Rule, ...]:
     found: list[Rule] = [(1, x, "spdx", f"spdx licen[cs]e identifier {x.replace('-', ' ').replace('.', ' ')}(?: only| or later)?") for x in labels]
     under = "(?:licen[cs]ed|released|distributed|available|published|provided|redistribute it)(?: and or modify it)? (?:under|with)(?: the)?(?: terms of)?(?: the)?(?: following)?"
     found += [(2, x, key, e) for x, key, e in PASSAGES]
-    found += [(2, x, key, f"{under} {name}(?: only| or later| or any later version)?") for x, key, name in (*names, *SHORT)]
+    found += [(2, x, key, f"{under} {name}(?: only| or later| or any later version)?") for x, key, name in names]
+    found += [(2, x, key, f"{under.replace('(?:under|with)', 'under')} {name}(?: only| or later| or any later version)?") for x, key, name in SHORT]
     found += [(3, x, key, name) for x, key, name in names]
     return tuple((t, x, key, " " + e.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " ") for t, x, key, e in found)
 
@@ -206,7 +208,9 @@ _KEPT = "struct<start:int,below:int,number:int,tier:int,label:string>"
 
 
 def _table(found: tuple[Rule, ...]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("number"), F.lit(t).alias("tier"), F.lit(x).alias("label"), F.lit(k).alias("key"), F.lit(piece(k, e)).alias("piece"), F.lit(e).alias("rx")) for i, (t, x, k, e) in enumerate(found)])
+    """The rules as an array of structs; one literal for the planner, however many they are."""
+    rows = [{"number": i, "tier": t, "label": x, "key": k, "piece": piece(k, e), "rx": e} for i, (t, x, k, e) in enumerate(found)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<number:int,tier:int,label:string,key:string,piece:string,rx:string>>")
 
 
 def _matches(s: Column, rule: Column) -> Column:
@@ -249,9 +253,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c not in out]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"), words(F.col(f"`{text}`")).alias("ws"))
     gate = rows.select("row", F.size("ws").cast("long").alias("n_words"), F.when(F.exists("ws", lambda w: w == "license"), F.col("ws")).alias("ws"), F.concat(F.lit(" "), F.array_join("ws", "  "), F.lit(" ")).alias("s"))
-    some = F.lit(False)
-    for g in gates(rules()):
-        some = some | F.contains("s", F.lit(g))
+    some = F.exists(F.from_json(F.lit(json.dumps(gates(rules()))), "array<string>"), lambda g: F.contains("s", g))
     gate = gate.select("row", "n_words", "ws", F.when(some, F.col("s")).alias("s"))
     at = F.array_compact(F.transform("ws", lambda w, i: F.when(w == "license", i)))
     before = lambda i, n: F.get("ws", i - n)
@@ -266,7 +268,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
         return found
 
     places = F.coalesce(F.array_compact(F.transform(at, place)), F.array().cast("array<struct<start:bigint,label:string>>"))
-    found = F.flatten(F.transform(F.filter(_table(rules()), lambda r: F.contains("s", r["piece"])), lambda r: _matches(F.col("s"), r)))
+    found = F.flatten(F.transform(F.filter(_table(rules()), lambda r: F.contains("s", r["piece"]) & F.contains("s", r["key"])), lambda r: _matches(F.col("s"), r)))
     step = gate.select("row", "n_words", places.alias("places"), F.when(F.col("s").isNotNull(), _kept(F.array_sort(found))).alias("kept"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))
     labels = F.array_sort(F.array_union(base, F.coalesce("kept.labels", F.array().cast("array<string>"))))
