@@ -152,7 +152,7 @@ def test_names_and_passages_without_the_word_license(spark):
 
 def test_gates_admit_all_matches():
     rules = licenses.rules()
-    for tier, label, key, e in rules:
-        assert key in " " + "  ".join(example(e).split()) + " ", (label, e)
-        assert licenses.piece(key, e) in example(e)
-        assert any(g in example(e) for g in licenses.gates(rules))
+    gates = licenses.gates(rules)
+    for _, label, key, e in rules:
+        assert key in example(e) and licenses.piece(key, e) in example(e), (label, e)
+        assert any(g in example(e) for g in gates)
