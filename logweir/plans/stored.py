@@ -83,7 +83,7 @@ def _index_beside(spark, sf_dir):
 ENTRIES = [{"timestamp": f"2024-01-20T10:{i:02d}:00Z", "level": ("debug", "info", "warn", "error")[i % 4], "service": f"s{i % 3}", "message": f"m {i}"} for i in range(12)]
 
 
-@query("ingest_stores_once", values("id, level, service, message", [(i + 1, e["level"], e["service"], e["message"]) for i, e in enumerate(ENTRIES)]))
+@query("ingest_stores_once", "SELECT CAST(id AS BIGINT) AS id, level, service, message FROM (" + values("id, level, service, message", [(i + 1, e["level"], e["service"], e["message"]) for i, e in enumerate(ENTRIES)]) + ")")
 def _once(spark, sf_dir):
     """A batch, the same again, one that fails half way, and that again."""
     engine = _engine(spark)
@@ -172,11 +172,11 @@ def _indexed(spark, sf_dir):
     return spark.createDataFrame([(int(s["watermark_id"]), s["backlog"], s["rows_indexed"], s["batches"], timed)], "watermark_id long, backlog long, rows_indexed long, batches long, timed boolean")
 
 
-@query("stored_weeks", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, count(*) AS rows, min(id) AS least_id, max(id) AS largest_id FROM logs GROUP BY 1")
+@query("stored_weeks", "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week_start, count(*) AS rows, min(id) AS least_id, max(id) AS largest_id FROM logs GROUP BY 1")
 def _weeks(spark, sf_dir):
     logs = LogTable(spark, scratch(spark, "logs"))
     logs.append(logs_of(spark, sf_dir))
-    return logs.files().drop("files")
+    return logs.files().drop("files").withColumn("week_start", F.col("week_start").cast("string"))
 
 
 @query("pruned_weeks", "SELECT count(DISTINCT date_trunc('week', ts)) FILTER (ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-16') AS opened, count(DISTINCT date_trunc('week', ts)) AS stored FROM logs")
@@ -429,12 +429,13 @@ def _sizes(spark, sf_dir):
     return spark.createDataFrame([(ms, attrindex.next_batch_rows(1000, ms, Settings())) for ms in (10, 39, 40, 120, 121, 360, 361)], "took_ms int, next_rows int")
 
 
-@query("ingest_floor", values("at_second, floor", [(2, 3), (11, 3), (13, 3), (14, 7), (15, None)]))
+@query("ingest_floor", values("at_second, floor", [(2, 3), (11, 3), (13, 3), (14, 7), (15, -1)]))
 def _floor(spark, sf_dir):
     floor = IngestFloor()
     for oldest, second in ((5, 1), (3, 2), (7, 3)):
         floor.note(oldest, second * times.SECOND)
-    return spark.createDataFrame([(s, floor.floor(s * times.SECOND)) for s in (2, 11, 13, 14, 15)], "at_second int, floor int")
+    at = lambda s: floor.floor(s * times.SECOND)
+    return spark.createDataFrame([(s, -1 if at(s) is None else at(s)) for s in (2, 11, 13, 14, 15)], "at_second int, floor int")
 
 
 @query("latency_reservoir", "WITH k AS (SELECT list_sort(list(user_id)) AS xs FROM (SELECT user_id FROM events ORDER BY event_id DESC LIMIT 4096)) SELECT CAST(len(xs) AS BIGINT) AS count, xs[least(len(xs) - 1, 50 * len(xs) // 100) + 1]::DOUBLE AS p50, xs[least(len(xs) - 1, 95 * len(xs) // 100) + 1]::DOUBLE AS p95, xs[least(len(xs) - 1, 99 * len(xs) // 100) + 1]::DOUBLE AS p99 FROM k")
