@@ -191,7 +191,7 @@ def _dealt(points: DataFrame, cells: dict[int, Cells]) -> DataFrame:
 
 
 def _asked(queries: DataFrame, cells: dict[int, Cells], k: int, factor: float, first: bool) -> DataFrame:
-    """(size, cell, x, bound) for each query (size, x, bound) and each cell that it goes to: first the nearest ones that together hold k vectors, then the others that its bound admits."""
+    """(size, cell, qid, x, bound) for each query (size, qid, x, bound) and each cell that it goes to: first the nearest ones that together hold k vectors, then the others that its bound admits."""
 
     def run(batches):
         for batch in batches:
@@ -209,18 +209,18 @@ def _asked(queries: DataFrame, cells: dict[int, Cells], k: int, factor: float, f
                     np.put_along_axis(near, order, held < k, axis=1)
                     who, cell = np.nonzero((near if first else ~near & (most >= bound[part][:, None])) & (c.count > 0))
                     at = pa.array(part[who])
-                    yield pa.RecordBatch.from_arrays([batch.column("size").take(at), pa.array(cell.astype(np.int32)), batch.column("x").take(at), batch.column("bound").take(at)], names=["size", "cell", "x", "bound"])
+                    yield pa.RecordBatch.from_arrays([batch.column("size").take(at), pa.array(cell.astype(np.int32)), batch.column("qid").take(at), batch.column("x").take(at), batch.column("bound").take(at)], names=["size", "cell", "qid", "x", "bound"])
 
-    return queries.mapInArrow(run, "size int, cell int, x array<double>, bound double")
+    return queries.select("size", "qid", "x", "bound").mapInArrow(run, "size int, cell int, qid long, x array<double>, bound double")
 
 
 def _searched(points: DataFrame, asked: DataFrame, limit: float, k: int, factor: float, partitions: int) -> DataFrame:
-    """(x, vec_id, score): for each query (size, cell, shard, x, bound) the k nearest ids of the shard (size, cell, shard, x, ids)."""
-    rows = points.select("size", "cell", "shard", F.lit(0).alias("asks"), "x", "ids", F.lit(0.0).alias("bound"))
-    rows = rows.unionByName(asked.select("size", "cell", "shard", F.lit(1).alias("asks"), "x", F.lit(None).cast("array<bigint>").alias("ids"), "bound"))
+    """(qid, vec_id, score): for each query (size, cell, shard, qid, x, bound) the k nearest ids of the shard (size, cell, shard, x, ids)."""
+    rows = points.select("size", "cell", "shard", F.lit(0).alias("asks"), F.lit(0).cast("long").alias("qid"), "x", "ids", F.lit(0.0).alias("bound"))
+    rows = rows.unionByName(asked.select("size", "cell", "shard", F.lit(1).alias("asks"), "qid", "x", F.lit(None).cast("array<bigint>").alias("ids"), "bound"))
     rows = rows.repartition(partitions, "size", "cell", "shard").sortWithinPartitions("size", "cell", "shard", "asks")
 
-    def answers(tree: Tree, ids: list, q: np.ndarray, bound: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def answers(tree: Tree, ids: list, qid: np.ndarray, q: np.ndarray, bound: np.ndarray) -> Iterator[pa.RecordBatch]:
         scores, found = tree.search(q, k, factor, bound)
         who, name, score = [], [], []
         for i in range(len(q)):
@@ -229,14 +229,10 @@ def _searched(points: DataFrame, asked: DataFrame, limit: float, k: int, factor:
             each = np.concatenate(own) if own else np.zeros(0, np.int64)
             value = np.repeat(scores[i][:n], [len(m) for m in own])
             top = np.lexsort((each, -value))[:k]
-            who.append(np.full(len(top), i))
+            who.append(np.full(len(top), qid[i]))
             name.append(each[top])
             score.append(value[top])
-        who = np.concatenate(who)
-        for i in range(0, len(who), 10_000):
-            x = q[who[i : i + 10_000]]
-            offsets = np.arange(len(x) + 1, dtype=np.int32) * q.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel())), pa.array(np.concatenate(name)[i : i + 10_000]), pa.array(np.concatenate(score)[i : i + 10_000])], names=["x", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (who, name, score)], names=["qid", "vec_id", "score"])
 
     def run(batches):
         now, tree, parts, ids = None, None, [], []
@@ -262,11 +258,11 @@ def _searched(points: DataFrame, asked: DataFrame, limit: float, k: int, factor:
                     order = np.lexsort(x.T[::-1])  # the same tree whatever the order of rows
                     parts, ids = [x[order]], [ids[i] for i in order.tolist()]
                     tree = Tree(parts[0], limit, names=np.array([m[0] for m in ids]))
-                q, bound = _vectors(own.column("x")), own.column("bound").to_numpy(zero_copy_only=False)
+                qid, q, bound = own.column("qid").to_numpy(), _vectors(own.column("x")), own.column("bound").to_numpy(zero_copy_only=False)
                 for i in range(0, len(q), BATCH_ROWS):
-                    yield from answers(tree, ids, q[i : i + BATCH_ROWS], bound[i : i + BATCH_ROWS])
+                    yield from answers(tree, ids, qid[i : i + BATCH_ROWS], q[i : i + BATCH_ROWS], bound[i : i + BATCH_ROWS])
 
-    return rows.mapInArrow(run, "x array<double>, vec_id long, score double")
+    return rows.mapInArrow(run, "qid long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, cells: int = CELLS) -> DataFrame:
@@ -280,13 +276,13 @@ def nearest(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vect
     """
     v = F.col("v")
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("v"), queries.alias("query")).where(valid(v) & F.col("vec_id").isNotNull())
-    rows = rows.select("vec_id", "query", F.transform(v, lambda c: c.cast("double") + F.lit(0.0)).alias("x"))
-    # copies of a vector become one point; a common one's are cut to the few smallest ids before the shuffle
-    first = Window.partitionBy("x").orderBy("vec_id")
+    rows = rows.select("vec_id", "query", F.transform(v, lambda c: c.cast("double") + F.lit(0.0)).alias("x")).withColumn("h", F.xxhash64("x"))
+    # copies of a vector become one point; a common one's are cut to the few smallest ids before the shuffle. Hashes are sorted by before vectors are
+    first = Window.partitionBy("h", "x").orderBy("vec_id")
     few = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1)
     with store.passing():
-        points = store.written(few.groupBy("x").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.size("x").alias("size"), "x", "ids"), "points")
-        found = _nearest(points, rows.where("query").select("vec_id", "x"), k, factor, shard_rows, cells)
+        points = store.written(few.groupBy("h", "x").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.size("x").alias("size"), "x", "ids"), "points")
+        found = _nearest(points, rows.where("query").select("vec_id", "h", "x"), k, factor, shard_rows, cells)
         found = store.kept(store.written(found, "nearest"))
     return found
 
@@ -308,20 +304,20 @@ def _nearest(points: DataFrame, asking: DataFrame, k: int, factor: float, shard_
     shards = spark.createDataFrame([(r.size, r.cell, -(-r.n // shard_rows)) for r in known], "size int, cell int, shards int")
     shards = F.broadcast(shards)  # a row for each cell
     sharded = dealt.join(shards, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("x"), F.col("shards")).cast("int").alias("shard"), "x", "ids")
-    every = lambda df: df.join(shards, ["size", "cell"]).select("size", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "x", "bound")
+    every = lambda df: df.join(shards, ["size", "cell"]).select("size", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "qid", "x", "bound")
     partitions = max(1, sum(-(-r.n // shard_rows) for r in known))
     keep = k + 1  # one of them may be the query itself
-    distinct = asking.groupBy("x").agg(F.lit(0).alias("_")).select(F.size("x").alias("size"), "x")
+    distinct = asking.groupBy("h", "x").agg(F.lit(0).alias("_")).select(F.size("x").alias("size"), "h", "x", F.monotonically_increasing_id().alias("qid"))
     distinct = store.written(distinct, "queries")
-    best = Window.partitionBy("x").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
     near = store.written(top(_searched(sharded, every(_asked(distinct.withColumn("bound", F.lit(float("-inf"))), at, keep, factor, True)), longest, keep, factor, partitions)), "first-round")
-    bounds = near.where(F.col("place") == keep).select("x", F.col("score").alias("bound"))
-    again = distinct.join(bounds, "x", "left").select("size", "x", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    bounds = near.where(F.col("place") == keep).select("qid", F.col("score").alias("bound"))
+    again = distinct.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     far = _searched(sharded, every(_asked(again, at, keep, factor, False)), longest, keep, factor, partitions)
     both = store.written(top(near.drop("place").unionByName(far)).drop("place"), "second-round")
-    asked = asking.select(F.col("vec_id").alias("query_id"), "x").distinct()
-    own = asked.join(both, "x").where(F.col("vec_id") != F.col("query_id"))
+    asked = asking.select(F.col("vec_id").alias("query_id"), "h", "x").distinct().join(distinct.select("h", "x", "qid"), ["h", "x"]).select("query_id", "qid")
+    own = asked.join(both, "qid").where(F.col("vec_id") != F.col("query_id"))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return own.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
