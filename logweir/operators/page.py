@@ -106,12 +106,14 @@ def two_source_rows(logs: DataFrame, tokens: DataFrame, watermark: int, req: Pag
         if not keys:
             break
         low, high = times.to_micros(keys[-1].ts), times.to_micros(keys[0].ts)
-        near = logs.where(all_of(time_range(low, high + 1, partitioned) + [F.col("id") < F.lit(watermark)] + _row_filters(req)))
-        wanted = logs.sparkSession.createDataFrame([(k.ts, k.id) for k in keys], "ts timestamp_ntz, id bigint")
-        found += near.join(F.broadcast(wanted), ["ts", "id"]).select(*LOGS.fieldNames()).orderBy(*newest_first()).limit(n).collect()
+        # the ids are a filter and no join: it is pushed to the scan, and attributes are parsed only where it holds
+        wanted = F.col("id").isin([k.id for k in keys])
+        near = logs.where(all_of(time_range(low, high + 1, partitioned) + [F.col("id") < F.lit(watermark), wanted] + _row_filters(req)))
+        at = {(k.ts, k.id) for k in keys}
+        found += [r for r in near.select(*LOGS.fieldNames()).collect() if (r.ts, r.id) in at]
         if len(keys) < take:
             break
-        before, take = (low, keys[-1].id), min(4 * take, 16 * (MAX_LIMIT + 1))
+        before, take = (low, keys[-1].id), min(2 * take, 4 * (MAX_LIMIT + 1))
     return sorted(above + found, key=lambda r: (r.ts, r.id), reverse=True)[:n]
 
 
