@@ -41,12 +41,16 @@ class RollupTable:
         return self.manifest.read()[1]
 
     def read(self, state: dict | None = None) -> DataFrame:
-        """The deltas that the state names, and only those: a reader that keeps its state keeps its snapshot."""
+        """The deltas that the state names, and only those: a reader that keeps its state keeps its snapshot. A bin whose rows came in several folds has a row in each of them."""
         names = (state or self.state())["deltas"]
         if not names:
             return self.spark.createDataFrame([], DELTA)
         return self.spark.read.schema(DELTA).parquet(*[f"{self.path}/{n}" for n in names])
 
+    def totals(self, state: dict | None = None) -> DataFrame:
+        """What read() gives, summed up: one row for each bin, service and level, however many folds its rows came in."""
+        return self.read(state).groupBy("bucket_start", "service", "level").agg(F.sum("entry_count").cast("long").alias("entry_count"))
+
     def source(self) -> dict:
         """What counts() takes, of one snapshot."""
         state = self.state()
@@ -83,7 +87,7 @@ class RollupTable:
 
     def compact(self) -> None:
         """Sums all deltas into one; the old ones stay until purge()."""
-        self.replace(lambda state: self.read(state).groupBy("bucket_start", "service", "level").agg(F.sum("entry_count").cast("long").alias("entry_count")))
+        self.replace(self.totals)
 
     def rebuild(self, width: int) -> None:
         """Begins anew at another width."""
